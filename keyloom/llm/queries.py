@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from .common import read_documents
 from .exact_dedup import exact_dedup
+from .mixing import mix
 
 
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(spark, read_documents(spark, sf_dir))
 
 
+def op9_mixing(spark, sf_dir):
+    taken, _ = mix(spark, read_documents(spark, sf_dir))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
