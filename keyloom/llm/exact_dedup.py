@@ -36,6 +36,8 @@ def _rocksdb(spark: SparkSession):
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many small stores: each would set aside megabytes for its log otherwise
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
