@@ -5,6 +5,22 @@ from __future__ import annotations
 from .common import read_documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality_forest import quality
+
+
+def op7_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality(spark, read_documents(spark, sf_dir), labels).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "anomaly",
+    )
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -17,6 +33,7 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
