@@ -6,6 +6,18 @@ from .common import read_documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_forest import quality
+from .token_store import token_store
+
+
+def tokenizer_file(name):
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_store(spark, sf_dir):
+    return token_store(spark, read_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
 def op7_quality(spark, sf_dir):
@@ -33,6 +45,7 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_token_store": op4_token_store,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
