@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read_documents
 from .exact_dedup import exact_dedup
+from .langid import language
 from .mixing import mix
 from .quality_forest import quality
 from .token_store import token_store
@@ -44,11 +45,16 @@ def op9_mixing(spark, sf_dir):
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_language(spark, sf_dir):
+    return language(spark, read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_token_store": op4_token_store,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
