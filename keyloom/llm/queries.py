@@ -8,6 +8,20 @@ from .langid import language
 from .mixing import mix
 from .quality_forest import quality
 from .token_store import token_store
+from .url_filter import url_filter
+
+
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+def op2_url_filter(spark, sf_dir):
+    return url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
 def tokenizer_file(name):
@@ -50,6 +64,7 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op4_token_store": op4_token_store,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
