@@ -7,6 +7,7 @@ from .exact_dedup import exact_dedup
 from .langid import language
 from .mixing import mix
 from .quality_forest import quality
+from .secret_scan import digest_columns, secret_scan
 from .token_store import token_store
 from .url_filter import url_filter
 
@@ -24,6 +25,10 @@ def op2_url_filter(spark, sf_dir):
     return url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op3_secret_scan(spark, sf_dir):
+    return digest_columns(secret_scan(spark, read_documents(spark, sf_dir)))
+
+
 def tokenizer_file(name):
     """Where a public tokenizer's file lies on this machine."""
     import public_tokenizers
@@ -65,6 +70,7 @@ def op10_language(spark, sf_dir):
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_store": op4_token_store,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
