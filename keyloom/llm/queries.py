@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read_documents
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .langid import language
 from .mixing import mix
 from .quality_forest import quality
@@ -12,6 +13,11 @@ from .token_store import token_store
 from .url_filter import url_filter
 
 
+def op1_jaccard_join(spark, sf_dir):
+    classes, _ = jaccard_join(spark, read_documents(spark, sf_dir))
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 URL_RULES = [
     ("org/", "allow"),
     ("example.org/es/", "block"),
@@ -69,6 +75,7 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_store": op4_token_store,

@@ -136,9 +136,9 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndar
             if b - a >= size:
                 yield i + d, np.unique(runs[a : b - size + 1])
             elif b > a:
-                h = np.uint64(b - a)
-                for w in word[a:b]:
-                    h = mix64(np.array([h * _B ^ w], dtype=np.uint64))[0]
-                yield i + d, np.array([h], dtype=np.uint64)
+                h = np.array([b - a], dtype=np.uint64)
+                for k in range(a, b):
+                    h = mix64(h * _B ^ word[k])
+                yield i + d, h
             else:
                 yield i + d, np.empty(0, np.uint64)
