@@ -7,6 +7,8 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .langid import language
 from .mixing import mix
+from .piece_lattice import digest_columns as piece_digests
+from .piece_lattice import encode_documents
 from .quality_forest import quality
 from .secret_scan import digest_columns, secret_scan
 from .token_store import token_store
@@ -46,6 +48,10 @@ def op4_token_store(spark, sf_dir):
     return token_store(spark, read_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_pieces(spark, sf_dir):
+    return piece_digests(encode_documents(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model")))
+
+
 def op7_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality(spark, read_documents(spark, sf_dir), labels).select(
@@ -79,6 +85,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_store": op4_token_store,
+    "op5_pieces": op5_pieces,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
