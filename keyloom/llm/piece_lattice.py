@@ -32,7 +32,7 @@ from . import textops
 
 SPACE = "▁"
 #: Cells of one array pass, and units whose solutions a worker keeps.
-CELLS, CACHE_UNITS = 1 << 17, 300_000
+CELLS, CACHE_UNITS = 1 << 17, 500_000
 _CUT = re.compile(f"([\n{SPACE}])")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,20 +92,29 @@ class PieceLattice:
         solved = self._solve(fragments)
         out = []
         for u in units:
-            ids, score, loss = [], 0.0, np.inf
+            if u in solved:
+                out.append(solved[u])
+                continue
+            ids, size, score, loss = [], 0, 0.0, np.inf
             for part, byte in _fragments(u):
                 if byte:
-                    some = [self.byte_id[b] for b in part.encode()]
-                    ids += some
+                    some = part.encode()
+                    ids.append(self._packed([self.byte_id[b] for b in some]))
+                    size += len(some)
                     score += self.byte_score * len(some)
                 else:
                     got = solved[part]
-                    ids += got[0]
-                    score += got[1]
-                    loss = min(loss, got[2])
-            out.append((np.array(ids, dtype=np.uint16).tobytes(), len(ids), score, loss))
+                    ids.append(got[0])
+                    size += got[1]
+                    score += got[2]
+                    loss = min(loss, got[3])
+            out.append((b"".join(ids), size, score, loss))
         return out
 
+    @staticmethod
+    def _packed(ids) -> bytes:
+        return np.array(ids, dtype=np.uint16).tobytes()
+
     def _edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, id) by length - 1, unit, start; -inf and -1 where there is no piece."""
         n, width = points.shape
@@ -125,7 +134,7 @@ class PieceLattice:
             score[0] = np.where(lone, self.byte_score * size, score[0])
         return score, ids
 
-    def _solve(self, fragments: list[str]) -> dict[str, tuple[list[int], float, float]]:
+    def _solve(self, fragments: list[str]) -> dict[str, tuple[bytes, int, float, float]]:
         out = {}
         by_length: dict[int, list[str]] = {}
         for f in fragments:
@@ -153,14 +162,18 @@ class PieceLattice:
                     through = best[:, : width - l] + score[l, :, : width - l] + back[:, l + 1 :]
                     through = np.where(on[:, : width - l] == l + 1, -np.inf, through)
                     second = np.maximum(second, through.max(1))
-                for r, f in enumerate(some):
-                    path, i = [], 0
-                    while i < width:
-                        l = int(on[r, i])
-                        one = int(ids[l - 1, r, i])
-                        path += [one] if one >= 0 else [self.byte_id[b] for b in f[i].encode()]
-                        i += l
-                    out[f] = (path, float(total[r]), float(total[r] - second[r]))
+                rows, at = np.nonzero(on)
+                one = ids[on[rows, at] - 1, rows, at]
+                data, edge = one.astype(np.uint16).tobytes(), np.searchsorted(rows, np.arange(len(some) + 1)).tolist()
+                loose = set(rows[one < 0].tolist())
+                for r, (f, t, x) in enumerate(zip(some, total.tolist(), second.tolist())):
+                    if r in loose:  # some characters are bytes
+                        path = []
+                        for i, k in zip(at[edge[r] : edge[r + 1]].tolist(), one[edge[r] : edge[r + 1]].tolist()):
+                            path += [k] if k >= 0 else [self.byte_id[b] for b in f[i].encode()]
+                        out[f] = (self._packed(path), len(path), t, t - x)
+                    else:
+                        out[f] = (data[2 * edge[r] : 2 * edge[r + 1]], edge[r + 1] - edge[r], t, t - x)
         return out
 
     @staticmethod
@@ -248,20 +261,20 @@ class Encoder:
         self.ids += [s[0] for s in solved]
         self.facts = np.concatenate([self.facts, np.array([s[1:] for s in solved]).reshape(-1, 3)])
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int, float, list[str]]]:
-        """(packed ids, their number, score, units) of each text; an empty one has none."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, float, list[str], np.ndarray]]:
+        """(packed ids, their number, score, units, where they are kept) of each text; an empty one has none."""
         split = [t.split(" ") if t else [] for t in texts]
         self.learn({u for units in split for u in units})
         out = []
         for units in split:
             at = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
             facts = self.facts[at]
-            out.append((b"".join(map(self.ids.__getitem__, at.tolist())), int(facts[:, 0].sum()), float(facts[:, 1].sum()), units))
+            out.append((b"".join(map(self.ids.__getitem__, at.tolist())), int(facts[:, 0].sum()), float(facts[:, 1].sum()), units, at))
         return out
 
-    def nbest(self, units: list[str], n: int) -> list[tuple[float, dict[int, list[int]]]]:
+    def nbest(self, units: list[str], at: np.ndarray, n: int) -> list[tuple[float, dict[int, list[int]]]]:
         """The n best segmentations: (loss against the best, ids of the units that deviate)."""
-        loss = self.facts[np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units)), 2]
+        loss = self.facts[at, 2]
         k = min(n - 1, len(units))
         some = np.lexsort((np.arange(len(loss)), loss))[:k] if len(loss) <= 4 * n else self._least(loss, k)
         choices = []
@@ -314,8 +327,8 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
             for i, j in textops.chunks(textops.buffers(column)[0]):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 rows = []
-                for text, (ids, size, score, units) in zip(texts, encoder.encode(texts)):
-                    best = encoder.nbest(units, n)
+                for text, (ids, size, score, units, at) in zip(texts, encoder.encode(texts)):
+                    best = encoder.nbest(units, at, n)
                     data = b"".join(map(table.__getitem__, np.frombuffer(ids, np.uint16).tolist()))
                     rows.append((ids, size, round(score, 4), [round(x, 4) for x, _ in best], data[1:] == text.encode()))
                 cols = list(zip(*rows))

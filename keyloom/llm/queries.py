@@ -11,6 +11,8 @@ from .piece_lattice import digest_columns as piece_digests
 from .piece_lattice import encode_documents
 from .quality_forest import quality
 from .secret_scan import digest_columns, secret_scan
+from .suffix_dedup import digest_columns as suffix_digests
+from .suffix_dedup import suffix_dedup
 from .token_store import token_store
 from .url_filter import url_filter
 
@@ -52,6 +54,10 @@ def op5_pieces(spark, sf_dir):
     return piece_digests(encode_documents(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model")))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_digests(suffix_dedup(spark, read_documents(spark, sf_dir)))
+
+
 def op7_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality(spark, read_documents(spark, sf_dir), labels).select(
@@ -86,6 +92,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_store": op4_token_store,
     "op5_pieces": op5_pieces,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
