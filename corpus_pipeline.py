@@ -1,11 +1,93 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages from raw documents to encoded, mixed ones.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and
+returns a DataFrame that is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.llm.common import ascii_lower, materialise, shared_dir
+from keyloom.llm.exact_dedup import exact_dedup
+from keyloom.llm.jaccard_join import jaccard_join
+from keyloom.llm.langid import language
+from keyloom.llm.mixing import mix
+from keyloom.llm.piece_lattice import encode_documents
+from keyloom.llm.queries import tokenizer_file
+
+#: A prediction below this is no better than a guess between the languages.
+MIN_SCORE = 0.35
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these doc_ids, null taken as an id like any other."""
+    chosen = ids.select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is a mere guess."""
+    found = language(spark, docs, carry=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("_row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of equal texts, the document with the largest doc_id, once."""
+    kept = exact_dedup(spark, docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    own = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
+    left = docs.withColumn("_own_sha", own).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha")), "left_semi"
+    )
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_own_sha"])
+    return left.drop("_own_sha")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each component of similar texts."""
+    classes, _ = jaccard_join(spark, docs)
+    return _keep(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents as the mix takes them.
+
+    A document comes as often as its taken tokens make up its size, rounded, so a
+    source's sum stays near its target; one without words takes none and stays once.
+    """
+    taken, _ = mix(spark, docs)
+    times = taken.groupBy("doc_id").agg(
+        F.max(F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"), 0)).cast("int")).alias("_times")
+    )
+    times = times.withColumnRenamed("doc_id", "_times_id").where("_times > 0")
+    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_times_id")))
+    return repeated.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, with its best segmentations' scores."""
+    return encode_documents(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_duplicates", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+#: Trained and iterative stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the last one's rows."""
+    folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(spark, stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops
 
@@ -326,9 +327,12 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     return network.frozen()
 
 
-def language(spark: SparkSession, docs: DataFrame, frozen: tuple | None = None) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, frozen: tuple | None = None, carry: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row for each document.
 
+    With ``carry`` the row is instead a struct ``_row`` of all columns of ``docs``, whatever
+    their names, beside held_out, lang_pred and score.
+
     ``und`` with score 0 where the text is null or has no letter.  Equal scores go
     to the language first by code point.  Null doc_ids aren't held out and never
     learned from.  Predictions read the text alone; without labelled documents all
@@ -350,9 +354,18 @@ def language(spark: SparkSession, docs: DataFrame, frozen: tuple | None = None)
             score = np.where(letters, p[np.arange(len(p)), best], 0.0)
             best = np.where(letters, best, len(names) - 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [b.column(0), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)],
+                [b.schema.names[0], "held_out", "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    first = F.struct(*docs.columns).alias("_row") if carry else F.col("doc_id").cast("long")
+    rows = docs.select(first, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+    out = T.StructType(
+        [
+            T.StructField("_row" if carry else "doc_id", rows.schema[0].dataType),
+            T.StructField("held_out", T.BooleanType()),
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    return rows.mapInArrow(run, out)
