@@ -13,7 +13,7 @@ subsets meets that of scanning lists, from the sizes and list lengths of this co
 
 Candidates are pruned exactly: by size, by the shingle's position, and by the number of
 hits that a link needs within both prefixes.  Lists over LONG members are not paired
-all with all: each member meets the list's first, and only sets that remain in
+all with all: each member meets the list's central one, and only sets that remain in
 different components after that meet each other.  Survivors are verified on whole sets.
 
 Everything is spread over Spark: sets travel as blocks of hashes, links and components
@@ -329,11 +329,16 @@ def _meets(x: str, y: str):
 
 
 def _first_meetings(entries: DataFrame) -> DataFrame:
-    """Pairs of every member of a long list with the list's first member."""
-    first = entries.groupBy("a").agg(F.min(F.struct("b", "nb", "pb")).alias("f"))
+    """Pairs of every member of a long list with the list's central member.
+
+    That is the one in most long lists: a set from which others were varied shares more
+    with each of them than they share with each other.
+    """
+    often = entries.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
+    first = entries.join(often, "b").groupBy("a").agg(F.max(F.struct("k", "b", "nb", "pb")).alias("f"))
     first = first.select("a", "f.b", "f.nb", "f.pb")
     met = entries.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.a")).where(_meets("x", "y") & (F.col("x.b") != F.col("y.b")))
-    return met.select(F.col("y.b").alias("a"), F.col("x.b").alias("b"))
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
 
 def _late_meetings(entries: DataFrame, labels: DataFrame) -> DataFrame:
