@@ -18,12 +18,14 @@ through Spark, so it may lie in any store that Spark can reach.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ MAGIC, SAMPLE = b"KTS1", 256
 _HEAD = struct.Struct("<4sBBHqqqqq")
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 #: Entries of the word cache of one Python worker, and the longest piece kept in it.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 350_000, 24
 #: Parts of a table, of which the driver holds a total each.
 MAX_PARTS = 1 << 16
 
@@ -144,6 +146,13 @@ class Shard:
 # ---------------------------------------------------------------- tokenising
 
 
+#: How the byte-level pre-tokenizer cuts text, and how it names bytes.
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_LATIN, _RUN = "\u0250", re.compile(r" \s")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -164,7 +173,7 @@ def pieces_of(text: str) -> list[str]:
     the first has lost that space.  Pieces that must stay together are rejoined.
     """
     parts = text.split(" ")
-    if "" not in parts[1:] and not any(p[0].isspace() for p in parts[1:]):
+    if not _RUN.search(text) and text[-1:] != " ":
         return parts
     out = parts[:1]
     for p in parts[1:]:
@@ -176,15 +185,39 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+def _learn(tokenizer, cache: dict, tokens: dict, new: list[str], space: str, kind) -> None:
+    """Ids of new pieces.
+
+    The library's model takes a pre-token, written in its byte alphabet, much faster than
+    its whole pipeline does, and pre-tokens recur in many pieces.  Pieces with letters
+    beyond the Latin blocks, on whose classes regular expressions may differ, take the
+    pipeline.
+    """
+    model, rest = tokenizer.model, []
+    for p in new:
+        if not p.isascii() and max(p) >= _LATIN:
+            rest.append(p)
+            continue
+        found = []
+        for t in _PRE_TOKEN.findall(space + p):
+            if t not in tokens:
+                name = t.encode().decode("latin-1").translate(_BYTE_NAMES)
+                tokens[t] = np.array([x.id for x in model.tokenize(name)], dtype=kind).tobytes()
+            found.append(tokens[t])
+        cache[p] = found[0] if len(found) == 1 else b"".join(found)
+    got = tokenizer.encode_batch_fast([space + p for p in rest], add_special_tokens=False)
+    cache.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(rest, got))
+
+
 def encode(texts: list[str], path: str, width: int, end_id: int) -> list[bytes]:
     """Ids of each text and end_id after them, packed.
 
-    Byte-level BPE never joins across the cuts of ``pieces_of``, so a piece's ids
-    are looked up, and each new piece goes through the library once a worker.
+    Byte-level BPE never joins across the cuts of ``pieces_of``, so a piece's ids are
+    looked up, and each new piece goes through the library once a worker.
     """
     tokenizer, kind = _tokenizer(path), np.uint16 if width == 2 else np.uint32
-    first, later = _caches.setdefault((path, width), ({}, {}))
-    for cache in (first, later):
+    first, later, tokens = _caches.setdefault((path, width), ({}, {}, {}))
+    for cache in (first, later, tokens):
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
     split = [pieces_of(t) for t in texts]
@@ -194,11 +227,8 @@ def encode(texts: list[str], path: str, width: int, end_id: int) -> list[bytes]:
         (later, " ", {p for parts in split for p in parts[1:]}),
     ):
         new = [p for p in names if p not in cache]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            got = tokenizer.encode_batch_fast([space + p for p in some], add_special_tokens=False)
-            cache.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(some, got))
-        passing += [(cache, p) for p in new if len(p) > CACHE_CHARS]
+        _learn(tokenizer, cache, tokens, new, space, kind)
+        passing += [(cache, p) for p in new if len(p) > CACHE_CHARS or cache is first]
     end = np.array([end_id], dtype=kind).tobytes()
     out = [first[parts[0]] + b"".join(map(later.__getitem__, parts[1:])) + end for parts in split]
     for cache, p in passing:
