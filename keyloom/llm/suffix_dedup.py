@@ -73,7 +73,7 @@ def _documents(batches):
     for b in batches:
         offsets, text = textops.buffers(b.column("text"))
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, j in textops.chunks(offsets):
+        for i, j in textops.chunks(offsets, 1 << 20):
             yield ids[i:j], offsets[i : j + 1] - offsets[i], text[offsets[i] : offsets[j]]
 
 
@@ -318,7 +318,7 @@ def earlier_windows(docs: DataFrame, length: int, field: np.ndarray, buckets: in
             if len(doc):
                 held.append((ids[doc], rows, key))
                 size += len(doc)
-            if size >= FLUSH // 4:
+            if size >= FLUSH // 8:
                 yield from runs()
                 held, size = [], 0
         if size:
@@ -410,7 +410,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 50) -> Data
     rows = docs.select(own, F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, min(20, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE_BYTES)).bit_length()))
-    bits = min(MAX_BITS, 1 << max(20, (size // 2).bit_length()))
+    bits = min(MAX_BITS, 1 << max(20, (size // 8).bit_length()))
     field = shared_anchors(rows, length, bits, buckets)
     answers = materialise(spark, earlier_windows(rows, length, field, buckets), folder, "answers")
     met = occurrences(rows, length, field).join(answers, "key").where("doc < doc_id")
