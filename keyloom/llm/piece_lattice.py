@@ -216,19 +216,20 @@ class PieceLattice:
                     some = [self.byte_id[b] for b in piece.encode()]
                     edges[j].append((i, self.byte_score * len(some), some))
             forward[j] = max(forward[i] + s for i, s, _ in edges[j])
-        queue, out, tie = [(-forward[width], 0, width, 0.0, None)], [], 0
+        # equal bounds, up to rounding, go on where the path is longest
+        queue, out, tie = [(round(-forward[width], 9), width, 0, 0.0, None)], [], 0
         while queue and len(out) < n:
-            bound, _, at, done, path = heapq.heappop(queue)
+            bound, at, _, done, path = heapq.heappop(queue)
             if not at:
                 ids = []
                 while path:
                     ids += path[0]
                     path = path[1]
-                out.append((-bound, ids))
+                out.append((done, ids))
                 continue
             for i, s, some in edges[at]:
                 tie += 1
-                heapq.heappush(queue, (-(done + s + forward[i]), tie, i, done + s, (some, path)))
+                heapq.heappush(queue, (round(-(done + s + forward[i]), 9), i, tie, done + s, (some, path)))
         return out
 
     def decode(self, ids) -> str:
