@@ -2,8 +2,9 @@
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes; documents
 with one set are one class from the start.  Two sets link when their Jaccard similarity
-reaches 3/4.  All sets order their shingles alike, frequent ones last, then by hash, so
-that linked sets share a shingle among the first n - ceil(3n/4) + 1 of each.
+reaches 3/4.  All sets order their shingles alike: counted rare ones, counted frequent
+ones, then those not counted, by hash in each class.  Linked sets share a shingle among
+the first n - ceil(3n/4) + 1 of each.
 
 Small sets (light) enumerate all pairs of shingles of a prefix one longer, of which
 linked sets share two; each pair is a key.  Large sets (heavy) enter the inverted lists
@@ -37,6 +38,8 @@ FREQUENT, LONG = 32, 64
 MAX_KNOWN = 1 << 20
 #: Bits of the filter that spares documents without candidates the verification.
 FILTER_BITS = 1 << 25
+#: Shingles of lower hash are counted: more of a set than its prefix holds.
+COUNTED = np.uint64(3 << 61)
 FLUSH = 1 << 20
 STAR = 512
 
@@ -53,11 +56,6 @@ def prefix_size(n):
     return n - -(-3 * n // 4) + 1
 
 
-def needed(na, nb):
-    """Shared shingles that sets of these sizes need to link."""
-    return -(-3 * (na + nb) // 7)
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets link; sizes decide most failures early."""
     if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
@@ -127,7 +125,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def frequent_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
     """(sorted shingles in more than FREQUENT sets, mean length of the list of an entry).
 
-    Counted over all documents, among the shingles of low hash that prefixes draw on.
+    Counted over all documents, among the shingles below COUNTED that prefixes draw on.
     At most MAX_KNOWN come back, the most frequent first; an order of shingles without
     the others is as right and merely gives longer lists.
     """
@@ -143,7 +141,7 @@ def frequent_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]
 
         for b in batches:
             for _, s in textops.shingle_sets(b.column("text")):
-                low = s[: prefix_size(len(s)) * 3 // 2 + 1]
+                low = s[: np.searchsorted(s, COUNTED)]
                 if len(s) and (sid := set_id(s)) not in seen:
                     if len(seen) < FLUSH:
                         seen.add(sid)
@@ -235,7 +233,7 @@ def candidates(docs: DataFrame, known: np.ndarray, light: int, buckets: int) ->
                     at = np.searchsorted(known, s)
                     at[at == len(known)] = 0
                     often = known[at] == s
-                order = np.argsort(often, kind="stable")[: p + 1]
+                order = np.argsort(np.where(often, 1, 2 * (s >= COUNTED)), kind="stable")[: p + 1]
                 if n > light or 4 * n >= 3 * (light + 1):
                     own = s[order[:p]]
                     # members of frequent shingles' lists are spread by set, not by shingle
