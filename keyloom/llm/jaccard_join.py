@@ -300,6 +300,12 @@ def _rows(kind, a, b, na, nb, hits, pa_, pb) -> pa.Table:
     return pa.table([full(v, np.int32 if i == 0 else np.int64) for i, v in enumerate((kind, a, b, na, nb, hits, pa_, pb))], names)
 
 
+def _needed_hits(na: str, nb: str):
+    """Hits within both prefixes that sets of these sizes need for a link."""
+    behind = F.greatest(*(F.ceil(3 * F.col(n) / 4.0) - 1 for n in (na, nb)))
+    return F.ceil((F.col(na) + F.col(nb)) * 3 / 7.0) - behind
+
+
 def _prune(found: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, from the lists of at most LONG members.
 
@@ -307,8 +313,7 @@ def _prune(found: DataFrame) -> DataFrame:
     the hits must make up the rest.  A set with entries in long lists may have more hits
     than were counted; its pairs all stay.
     """
-    p = lambda n: F.expr(f"{n} - ceil(3 * {n} / 4.0D) + 1")
-    need = F.ceil((F.col("na") + F.col("nb")) * 3 / 7.0) - F.greatest(F.col("na") - p("na"), F.col("nb") - p("nb"))
+    need = _needed_hits("na", "nb")
     pairs = (
         found.where("kind < 2")
         .groupBy("a", "b")
@@ -318,12 +323,23 @@ def _prune(found: DataFrame) -> DataFrame:
     return pairs.join(marked, "a", "left").where((F.col("sub") == 1) | F.col("long") | (F.col("hits") >= need)).select("a", "b")
 
 
+def _long_entries(found: DataFrame) -> DataFrame:
+    """The entries of long lists, with the number of long lists the set is in as ``kb``."""
+    entries = found.where("kind = 2").select("a", "b", "nb", "pb").distinct()
+    return entries.join(entries.groupBy("b").agg(F.count_if(F.col("pb") >= 0).alias("kb")), "b")
+
+
 def _meets(x: str, y: str):
-    """Whether two entries of a long list may be the first that linked sets share."""
-    nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("nb", "pb") for s in (x, y))
+    """Whether two entries of a long list may be the first that linked sets share.
+
+    Sets that also meet in a short list are paired there, so all the hits that others
+    need come from long lists: each set must be in as many.
+    """
+    nx, ny, px, py, kx, ky = (F.col(f"{s}.{c}") for c in ("nb", "pb", "kb") for s in (x, y))
     need = F.ceil((nx + ny) * 3 / 7.0)
     fits = 4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)
-    return fits & ((px < 0) | (1 + F.least(nx - 1 - px, ny - 1 - py) >= need))
+    enough = F.least(kx, ky) >= _needed_hits(f"{x}.nb", f"{y}.nb")
+    return fits & ((px < 0) | (enough & (1 + F.least(nx - 1 - px, ny - 1 - py) >= need)))
 
 
 def _first_meetings(entries: DataFrame) -> DataFrame:
@@ -333,8 +349,8 @@ def _first_meetings(entries: DataFrame) -> DataFrame:
     with each of them than they share with each other.
     """
     often = entries.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
-    first = entries.join(often, "b").groupBy("a").agg(F.max(F.struct("k", "b", "nb", "pb")).alias("f"))
-    first = first.select("a", "f.b", "f.nb", "f.pb")
+    first = entries.join(often, "b").groupBy("a").agg(F.max(F.struct("k", "b", "nb", "pb", "kb")).alias("f"))
+    first = first.select("a", "f.b", "f.nb", "f.pb", "f.kb")
     met = entries.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.a")).where(_meets("x", "y") & (F.col("x.b") != F.col("y.b")))
     return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
@@ -451,7 +467,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     sizes = {r["n"]: r["count"] for r in owners.where("n BETWEEN 3 AND 64").groupBy("n").count().collect()}
     light = boundary(sizes, list_length)
     found = materialise(spark, candidates(docs, known, light, buckets), folder, "found")
-    entries = found.where("kind = 2").select("a", "b", "nb", "pb").distinct()
+    entries = materialise(spark, _long_entries(found), folder, "entries")
     has_long = not entries.isEmpty()
     # a set's own document, for the few sets that have candidates
     held = owners.where("doc_id IS NOT NULL").select("sid", "doc_id")

@@ -53,6 +53,25 @@ def test_jaccard_join_edges(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in twice if r.n_shingles) == [(False, 1), (False, 1), (True, 1)]
 
 
+def test_jaccard_join_long_lists(spark, monkeypatch):
+    """Passages that many sets share, and copies of them that differ a little."""
+    monkeypatch.setattr(join, "LONG", 4)
+    monkeypatch.setattr(join, "FREQUENT", 3)
+    rng = random.Random(8)
+    passages = [[f"p{k}_{j}" for j in range(60)] for k in range(3)]
+    rows = []
+    for i in range(150):
+        own = [f"d{i // 3}_{j}" for j in range(rng.choice([8, 14, 20, 60]))]
+        w = rng.choice(passages) + own if rng.random() < 0.7 else own + rng.choice(passages) + rng.choice(passages)
+        if rng.random() < 0.7:
+            w = list(w)
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join.jaccard_join(spark, edge(spark, rows))[0].collect()}
+    assert got == brute.jaccard_components(rows)
+    assert 3 < len({c for _, c in got.values()}) < 147
+
+
 def test_boundary_follows_cost():
     assert join.boundary({4: 1000, 60: 1000}, 1000.0) >= 4
     assert join.boundary({60: 1000}, 0.0) < 60
