@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components as star_components
 from . import textops
 from .common import materialise, shared_dir
 from .textops import mix64
@@ -428,22 +429,9 @@ def verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: DataF
 def components(spark: SparkSession, links: DataFrame, folder: str, name: str) -> DataFrame:
     """v, root for every set with a link: the smallest set id of its component.
 
-    Each round takes the smallest label among the neighbours, then follows labels to
-    their own; labels settle in about the logarithm of the longest chain.
+    Rounds go on until all labels are settled, however long the chains of links are.
     """
-    edges = links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct()
-    edges = materialise(spark, edges, folder, f"{name}-edges")
-    labels = materialise(spark, edges.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root")), folder, f"{name}-0")
-    for k in range(1, 100):
-        near = edges.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("root").alias("near"))
-        low = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        up = low.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        new = low.join(up, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "was")
-        new = materialise(spark, new, folder, f"{name}-{k}")
-        labels = new.select("v", "root")
-        if new.where("root <> was").isEmpty():
-            break
-    return labels
+    return star_components(links, lambda df, k: materialise(spark, df, folder, f"{name}-{k}"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,18 @@ def test_jaccard_join_long_lists(spark, monkeypatch):
     assert 3 < len({c for _, c in got.values()}) < 147
 
 
+def test_components_of_long_chains(spark):
+    """Chains and a hub whose ids are random, in rising and in falling order."""
+    rng = random.Random(6)
+    ids = list({rng.getrandbits(64) - 2**63 for _ in range(5000)})
+    rng.shuffle(ids)
+    chains = [ids[:2000], sorted(ids[2000:3200]), sorted(ids[3200:4400], reverse=True)]
+    links = [(a, b) for c in chains for a, b in zip(c, c[1:])] + [(ids[4400], x) for x in ids[4401:]]
+    frame = spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long")
+    got = {r.v: r.root for r in join.components(spark, frame, join.shared_dir(spark), "t").collect()}
+    assert got == {x: min(c) for c in (*chains, ids[4400:]) for x in c}
+
+
 def test_boundary_follows_cost():
     assert join.boundary({4: 1000, 60: 1000}, 1000.0) >= 4
     assert join.boundary({60: 1000}, 0.0) < 60
