@@ -10,8 +10,9 @@ runs A* backwards from the end with those scores as its heuristic; they are exac
 paths leave the queue in the order of their full scores and nothing is expanded twice
 for one result.
 
-No piece reaches across a space or a line break, so the lattice falls into units there.
-Viterbi runs over many different units at once as arrays, and each different unit is
+No piece reaches from a word into the space after it or across a line break; the only
+pieces with a space further on are runs of spaces.  So the lattice falls into units, each
+a run of spaces and the word after it.  Viterbi runs over many different units at once as arrays, and each different unit is
 solved once a worker.  The N best of a text deviate from its best only in the N - 1
 units whose second-best costs least, found from forward and backward scores; A* runs on
 these alone.
@@ -34,16 +35,27 @@ SPACE = "▁"
 #: Cells of one array pass, and units whose solutions a worker keeps.
 CELLS, CACHE_UNITS = 1 << 17, 500_000
 _CUT = re.compile(f"([\n{SPACE}])")
+_RUN = re.compile("[ ]+[^ ]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fragments(unit: str) -> list[tuple[str, bool]]:
-    """A unit cut at line breaks and at every U+2581 but a leading one: (string, whether bytes)."""
+    """A unit cut at line breaks and at every U+2581 but a leading one: (string, whether bytes).
+
+    Spaces of the unit become U+2581 in its fragments.
+    """
     if "\n" not in unit and SPACE not in unit[1:]:
-        return [(unit, False)] if unit else []
+        return [(unit.replace(" ", SPACE), False)] if unit else []
     parts = _CUT.split(unit[1:])
     parts[0] = unit[0] + parts[0]
-    return [(p, p == "\n" or (k > 0 and p == SPACE)) for k, p in enumerate(parts) if p]
+    return [(p.replace(" ", SPACE), p == "\n" or (k > 0 and p == SPACE)) for k, p in enumerate(parts) if p]
+
+
+def _units(text: str) -> list[str]:
+    """The words of a text, each with the spaces before it but one; the text's start counts as a space."""
+    if "  " not in text and not text.startswith(" "):
+        return text.split(" ")
+    return [m[1:] for m in _RUN.findall(" " + text)]
 
 
 class PieceLattice:
@@ -62,9 +74,10 @@ class PieceLattice:
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-                if (sp.get_score(i) > -1e8 or piece == SPACE) and SPACE not in piece[1:]:
-                    names.append(piece)
-                    ids.append(i)
+                if SPACE in piece[1:] and piece.strip(SPACE):
+                    raise ValueError(f"piece {i} reaches from a word across a space: {piece}")
+                names.append(piece)
+                ids.append(i)
         rank = np.array([min(max(0.0, -sp.get_score(i)), n) for i in ids])
         self.byte_score = float(-np.log(n + 3) - 1)
         self.ids_by_name = dict(zip(names, ids))
@@ -85,18 +98,18 @@ class PieceLattice:
     def solve(self, units: list[str]) -> list[tuple[bytes, int, float, float]]:
         """(packed ids, their number, score, loss of the second-best) of each unit's best path.
 
-        A unit is a run of piece characters: a leading U+2581 stands for the space, and
-        line breaks or U+2581 further on are byte edges.
+        A unit is a run of piece characters: a leading U+2581 stands for the space, more
+        spaces may follow it, and line breaks or U+2581 further on are byte edges.
         """
-        fragments = list(dict.fromkeys(p for u in units for p, byte in _fragments(u) if not byte))
-        solved = self._solve(fragments)
+        cut = [_fragments(u) for u in units]
+        solved = self._solve(list(dict.fromkeys(p for parts in cut for p, byte in parts if not byte)))
         out = []
-        for u in units:
-            if u in solved:
-                out.append(solved[u])
+        for parts in cut:
+            if len(parts) == 1 and not parts[0][1]:
+                out.append(solved[parts[0][0]])
                 continue
             ids, size, score, loss = [], 0, 0.0, np.inf
-            for part, byte in _fragments(u):
+            for part, byte in parts:
                 if byte:
                     some = part.encode()
                     ids.append(self._packed([self.byte_id[b] for b in some]))
@@ -209,9 +222,10 @@ class PieceLattice:
         for j in range(1, width + 1):
             for i in range(max(0, j - self.longest), j):
                 piece = unit[i:j]
-                one = self.ids_by_name.get(piece) if SPACE not in piece[1:] and (i == 0 or piece[0] != SPACE) else None
+                name = piece.replace(" ", SPACE)
+                one = self.ids_by_name.get(name) if SPACE not in piece[1:] and (i == 0 or piece[0] != SPACE) else None
                 if one is not None:
-                    edges[j].append((i, self.score_by_name[piece], [one]))
+                    edges[j].append((i, self.score_by_name[name], [one]))
                 elif j - i == 1:
                     some = [self.byte_id[b] for b in piece.encode()]
                     edges[j].append((i, self.byte_score * len(some), some))
@@ -244,10 +258,14 @@ def lattice(path: str) -> PieceLattice:
 
 
 class Encoder:
-    """Encodes texts with the solutions of units seen before."""
+    """Encodes texts with the solutions of units seen before.
+
+    ``space_runs`` admits the pieces that stand for several spaces; without them each
+    space is the start of a unit of its own, and the best paths are those without runs.
+    """
 
-    def __init__(self, model: PieceLattice):
-        self.model = model
+    def __init__(self, model: PieceLattice, space_runs: bool = False):
+        self.model, self.split = model, _units if space_runs else lambda t: t.split(" ")
         self.index: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.paths: dict[tuple[str, int], list] = {}
@@ -264,7 +282,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int, float, list[str], np.ndarray]]:
         """(packed ids, their number, score, units, where they are kept) of each text; an empty one has none."""
-        split = [t.split(" ") if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         self.learn({u for units in split for u in units})
         out = []
         for units in split:
@@ -321,7 +339,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     def run(batches):
         encoder = _encoders.get(path)
         if encoder is None:
-            encoder = _encoders[path] = Encoder(lattice(path))
+            encoder = _encoders[path] = Encoder(lattice(path), space_runs=True)
         table = encoder.model.bytes_of
         for b in batches:
             column = b.column("text")

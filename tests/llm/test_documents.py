@@ -136,6 +136,44 @@ def test_n_best_segmentations_against_all_paths():
         assert model.decode(np.frombuffer(ids, np.uint16).tolist()) == t
 
 
+def test_n_best_segmentations_with_runs_of_spaces():
+    """Against every path over the library's own vocabulary, with nothing barred but literal U+2581."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    model = piece_lattice.lattice(tokenizer_file("piece_bpe_32k.model"))
+    names = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    cost = {p: float(-np.log(3 + min(max(0.0, -sp.get_score(i)), sp.get_piece_size()))) for p, i in names.items()}
+
+    def paths(text):
+        whole, best = piece_lattice.SPACE + text.replace(" ", piece_lattice.SPACE), [[(0.0, [])]]
+        literal = {k + 1 for k, c in enumerate(text) if c == piece_lattice.SPACE}
+        for j in range(1, len(whole) + 1):
+            found = []
+            for i in range(j):
+                piece, bare = whole[i:j], not any(k in literal for k in range(i, j))
+                if bare and piece in names:
+                    found += [(s + cost[piece], [*ids, names[piece]]) for s, ids in best[i]]
+                elif j == i + 1:
+                    some = [model.byte_id[b] for b in piece.encode()]
+                    found += [(s + model.byte_score * len(some), ids + some) for s, ids in best[i]]
+            best.append(sorted(found, key=lambda x: -x[0])[:6])
+        return best[-1]
+
+    encoder, rng = piece_lattice.Encoder(model, space_runs=True), random.Random(4)
+    texts = ["a   b", "▁▁x", "  x", " ▁ x", "   ", "a\n    return x", " " * 40 + "if", "x" + " " * 15 + "y "]
+    texts += ["".join(rng.choice(["ab", "the", " ", "  ", " " * 7, "\n", "é", "▁", "字"]) for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    for t in texts:
+        want = paths(t)[:4]
+        ((ids, _, score, units, at),) = encoder.encode([t])
+        best = encoder.nbest(units, at, 4)
+        assert score == pytest.approx(want[0][0]), t
+        assert [x for x, _ in best] == pytest.approx([want[0][0] - w[0] for w in want], abs=1e-9), t
+        assert model.decode(np.frombuffer(ids, np.uint16).tolist()) == t
+    (row,) = encoder.encode(["a   b"])
+    assert np.frombuffer(row[0], np.uint16).tolist() in (sp.encode("a   b"), [names["▁a"], names["▁▁"], names["▁b"]])
+
+
 def test_pieces_round_trip(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     for df in (edge(spark, [*ODD, (9, "▁ \n é" * 50, "z"), (10, "x" * 30_000, "z")]), read_documents(spark, SMALL), edge(spark, [])):
