@@ -9,17 +9,22 @@ holds for all its urls without a rule.
 
 The graph has hosts as nodes and distinct links as edges.  Edges stay in Spark; an
 iteration is one join and one aggregation, and every few of them are written to the
-shared folder to cut the lineage.
+shared folder to cut the lineage.  The walks go on until they have reached all hosts they
+can and their scores have settled.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A walk has settled when its scores change by no more than this in sum, and each by no more than this share of it.
+TOLERANCE = 1e-9
 #: Rules up to this number are literals in the plan; more of them are joined.
 LITERAL_RULES = 500
 
@@ -88,12 +93,14 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def walk(
-    spark: SparkSession, edges: DataFrame, seeds: DataFrame, folder: str, name: str, damping: float, rounds: int, every: int = 5
+    spark: SparkSession, edges: DataFrame, seeds: DataFrame, folder: str, name: str, damping: float, rounds: int | None = None, every: int = 5
 ) -> DataFrame:
     """host, score: personalised PageRank over ``edges`` (src, dst) from ``seeds`` (host, weight).
 
     Weights sum to 1.  What reaches a host without links is dropped, like the walks that
-    end; it would return to the seeds and scale all scores alike.
+    end; it would return to the seeds and scale all scores alike.  Without a number of
+    ``rounds`` the walk goes on until a round reaches no new host and changes the scores
+    by TOLERANCE at most, which is looked at every few rounds.
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     spread = materialise(spark, edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("share")), folder, f"{name}-edges")
@@ -101,12 +108,28 @@ def walk(
     score = seeds.select("host", F.col("weight").alias("score"))
     if spread.isEmpty():
         return start
-    for k in range(rounds):
+    for k in itertools.count(1):
         moved = score.join(spread, score.host == spread.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        score = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-        if (k + 1) % every == 0 and k + 1 < rounds:
-            score = materialise(spark, score, folder, f"{name}-{k + 1}")
-    return materialise(spark, score, folder, f"{name}-last")
+        terms = moved.unionByName(start)
+        if rounds is not None or k % every:
+            score = terms.groupBy("host").agg(F.sum("score").alias("score"))
+            if k == rounds:
+                return materialise(spark, score, folder, f"{name}-last")
+            if k % every == 0:
+                score = materialise(spark, score, folder, f"{name}-{k}")
+            continue
+        was = score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        both = terms.withColumn("was", F.lit(None).cast("double")).unionByName(was)
+        both = materialise(spark, both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), folder, f"{name}-{k}")
+        change = F.abs(F.col("score") - F.col("was"))
+        seen = both.agg(
+            F.count_if(F.col("was").isNull()).alias("fresh"),
+            F.coalesce(F.sum(change), F.lit(0.0)).alias("sum"),
+            F.coalesce(F.max(F.when(F.col("score") > 1e-290, change / F.col("score"))), F.lit(0.0)).alias("share"),
+        ).first()
+        score = both.select("host", "score")
+        if not seen["fresh"] and seen["sum"] <= TOLERANCE and seen["share"] <= TOLERANCE:
+            return score
 
 
 def _seeds(hosts: DataFrame, kind: str) -> DataFrame:
@@ -120,13 +143,14 @@ def url_filter(
     pages: DataFrame,
     rules: list[tuple[str, str]],
     damping: float = 0.85,
-    rounds: int = 10,
+    rounds: int | None = None,
     threshold: float = 0.0,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust; one row for each page.
 
     Without a rule a url is blocked where its host's distrust exceeds its trust by more
-    than ``threshold``, else allowed; hosts that no walk reaches have 0 of both.  A
+    than ``threshold``, else allowed; hosts that no walk reaches have 0 of both.  The
+    walks settle unless ``rounds`` limits them.  A
     host that rules both allow and block somewhere is a seed of either kind by the
     number of its urls.  A null url, or one without ``://``, has an empty host and
     path and is no seed.  Null html has no links.  Repeated pages give repeated rows;

@@ -55,6 +55,23 @@ def test_page_rank_against_a_plain_loop(spark):
     assert got == pytest.approx(score)
 
 
+def test_walks_go_on_until_they_settle(spark):
+    """A host 23 links from a blocked one, and scores on a cycle against the solved equations."""
+    chain = [f"h{k}.net" for k in range(23)] + ["bad.com"]
+    pages = [(k, f"http://{a}/x", f'<a href="http://{b}/">') for k, (a, b) in enumerate(zip(chain, chain[1:]))] + [(99, "http://bad.com/de/1", None)]
+    got = url_filter.url_filter(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    assert {r.verdict for r in got} == {"block"} and len(got) == 24
+
+    from keyloom.llm.common import shared_dir
+
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")]
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, weight double")
+    score = {r.host: r.score for r in url_filter.walk(spark, spark.createDataFrame(links, "src string, dst string"), seeds, shared_dir(spark), "t", 0.85).collect()}
+    m = np.array([[0, 0.5, 1], [1, 0, 0], [0, 0.5, 0]])
+    exact = np.linalg.solve(np.eye(3) - 0.85 * m, [0.15, 0, 0])
+    assert [score[h] for h in "abc"] == pytest.approx(exact.tolist(), rel=1e-8)
+
+
 def test_secret_scan(spark):
     rng = random.Random(2)
     parts = ["token", "Secret", "api_key", "APIKEY", "=", ": ", " ", '"', "'", "abc", "0123456789abcdef", "AKIA", "ABCDEFGH12", "é\n", ".", "passwd=secret:"]
