@@ -12,11 +12,15 @@ the groups leave, by the interval in which each version was current.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.glob import to_regex
+from ..operators.components import components
 from .machine import Machine
 from .table import command_table
 
@@ -57,16 +61,14 @@ def _groups(tied: DataFrame) -> DataFrame:
     """key, grp for keys that tied commands connect: smallest key of the component."""
     first = tied.groupBy("conn", "seq").agg(F.min("key").alias("head"))
     edges = tied.join(first, ["conn", "seq"]).select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("grp"))
-    for k in range(1, 200):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("grp").alias("near"))
-        new = labels.join(near, "a").select("a", F.least("grp", "near").alias("grp"), F.col("grp").alias("was"))
-        new = new.cache() if k % 4 else new.checkpoint()
-        labels = new.select("a", "grp")
-        if new.where("grp <> was").isEmpty():
-            break
-    return labels.withColumnRenamed("a", "key")
+    base = tied.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+    folder = f"{base.rstrip('/')}/groups-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return tied.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return components(edges, keep).select(F.col("v").alias("key"), F.col("root").alias("grp"))
 
 
 def _run_group(pdf: pd.DataFrame) -> pd.DataFrame:

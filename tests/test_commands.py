@@ -82,3 +82,14 @@ def test_log_of_commands_equals_one_machine(spark):
     live = lambda d: {k: v for k, v in d.items() if v[1] == 0 or v[1] > now}
     after = {bytes(r.key): (bytes(r.value), r.expire_at) for r in commands.keyspace_after(mutations).collect()}
     assert live(after) == live(m.records)
+
+
+def test_a_long_chain_of_renames_is_one_group(spark):
+    keys = [f"r{i:04d}".encode() for i in range(600)]
+    random.Random(9).shuffle(keys)
+    rows = [(0, 0, START, [b"set", keys[0], b"v"])] + [(0, i + 1, START, [b"rename", a, b]) for i, (a, b) in enumerate(zip(keys, keys[1:]))]
+    rows.append((0, len(rows), START, [b"get", keys[-1]]))
+    replies, mutations = commands.execute(spark, spark.createDataFrame(rows, "conn bigint, seq bigint, now_ms bigint, args array<binary>"))
+    got = {r.seq: bytes(r.s) if r.s is not None else r.err for r in replies.collect()}
+    assert got == {**{k: b"OK" for k in range(len(rows) - 1)}, len(rows) - 1: b"v"}
+    assert [bytes(r.key) for r in commands.keyspace_after(mutations).collect()] == [keys[-1]]
