@@ -7,7 +7,8 @@ group, found as connected components.  Each group runs its commands in order; gr
 run in parallel.  A flush goes to every group that has commands.
 
 KEYS, SCAN, DBSIZE and RANDOMKEY read all keys; they are answered from the history that
-the groups leave, by the interval in which each version was current.
+the groups leave, by the interval in which each version was current.  INFO counts this
+history, and the commands and replies before it.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 
 from ..functions.glob import to_regex
 from ..operators.components import components
-from .machine import Machine
+from .machine import Machine, info_text
 from .table import command_table
 
 APART = ("mget", "del", "unlink", "exists", "touch", "mset")
 TIED = ("rename", "renamenx", "copy", "msetnx")
-GLOBAL = ("keys", "scan", "dbsize", "randomkey")
+GLOBAL = ("keys", "scan", "dbsize", "randomkey", "info")
 _ELEM = "array<struct<kind:string,i:bigint,s:binary>>"
-_OUT = f"conn bigint, seq bigint, pos int, kind string, i bigint, s binary, err string, elems {_ELEM}, key binary, value binary, expire_at bigint, gone boolean"
+_OUT = f"conn bigint, seq bigint, pos int, kind string, i bigint, s binary, err string, elems {_ELEM}, key binary, value binary, expire_at bigint, gone boolean, hits bigint, misses bigint"
 
 
 def checked(cmds: DataFrame) -> DataFrame:
@@ -80,17 +81,17 @@ def _run_group(pdf: pd.DataFrame) -> pd.DataFrame:
             machine.records[bytes(row.key)] = (bytes(row.args[1]), int(row.now_ms))
             continue
         args, now = [bytes(a) for a in row.args], int(row.now_ms)
-        before = dict(machine.records)
+        before, hits, misses = dict(machine.records), machine.hits, machine.misses
         kind, i, s, err, elems = machine.run(args, now)
         if row.pos >= 0:
             elems = [(k, n, b) for k, n, b, _, _ in elems] if elems is not None else None
-            out.append((row.conn, row.seq, row.pos, kind, i, s, err, elems, None, None, None, False))
+            out.append((row.conn, row.seq, row.pos, kind, i, s, err, elems, None, None, None, False, machine.hits - hits, machine.misses - misses))
         for key in before.keys() | machine.records.keys():
             old, new = before.get(key), machine.records.get(key)
             if old != new:
                 v, e = new or (None, 0)
-                out.append((row.conn, row.seq, -2, None, None, None, None, None, key, v, e, new is None))
-    names = ["conn", "seq", "pos", "kind", "i", "s", "err", "elems", "key", "value", "expire_at", "gone"]
+                out.append((row.conn, row.seq, -2, None, None, None, None, None, key, v, e, new is None, 0, 0))
+    names = ["conn", "seq", "pos", "kind", "i", "s", "err", "elems", "key", "value", "expire_at", "gone", "hits", "misses"]
     frame = pd.DataFrame(out, columns=names)
     for c in ("i", "expire_at"):
         frame[c] = frame[c].astype("Int64")
@@ -143,7 +144,7 @@ def execute(spark: SparkSession, cmds: DataFrame, ks: DataFrame | None = None) -
         F.lit(None).cast("string").alias("err"),
         F.when(F.col("name") == "mget", F.flatten(F.transform("r", lambda x: x["elems"]))).alias("elems"),
     )
-    loose = rows.where("NOT ok OR (first_key = 0 AND name NOT IN ('keys', 'scan', 'dbsize', 'randomkey'))")
+    loose = rows.where(f"NOT ok OR (first_key = 0 AND name NOT IN ({', '.join(map(repr, GLOBAL))}))")
     loose = loose.select("conn", "seq", F.lit(0).alias("pos"), "now_ms", "args", F.lit(None).cast("binary").alias("key"), F.col("args")[0].alias("grp"))
     bare = loose.withColumn("grp", F.pmod(F.xxhash64("seq"), F.lit(64)).cast("string").cast("binary")).groupBy("grp").applyInPandas(_run_group, _OUT)
     bare = bare.where("pos >= 0").select("conn", "seq", "kind", "i", "s", "err", "elems")
@@ -151,19 +152,61 @@ def execute(spark: SparkSession, cmds: DataFrame, ks: DataFrame | None = None) -
     asked = rows.where(F.col("ok") & F.col("name").isin(*GLOBAL))
     replies = whole.unionByName(joined).unionByName(bare)
     if not asked.isEmpty():
-        replies = replies.unionByName(_global_reads(spark, asked, mutations, ks))
+        about = asked.where("name = 'info'")
+        facts = _info(rows, about, replies, parts, mutations, ks) if not about.isEmpty() else None
+        replies = replies.unionByName(_global_reads(spark, asked.where("name <> 'info'"), mutations, ks))
+        replies = replies if facts is None else replies.unionByName(facts)
     return replies, mutations
 
 
-def _global_reads(spark: SparkSession, asked: DataFrame, mutations: DataFrame, ks: DataFrame | None) -> DataFrame:
-    """Replies of reads of all keys, from the versions that were current at their seq."""
-    versions = mutations.select("seq", "key", "expire_at", "gone")
-    if ks is not None:
-        versions = versions.unionByName(ks.select(F.lit(-1).cast("bigint").alias("seq"), "key", "expire_at", F.lit(False).alias("gone")))
+def _info(rows: DataFrame, asked: DataFrame, replies: DataFrame, parts: DataFrame, mutations: DataFrame, ks: DataFrame | None) -> DataFrame:
+    """Replies of INFO, from the keyspace at its seq and from what came before it."""
+    at = F.broadcast(asked.select(F.col("seq").alias("at"), F.col("now_ms").alias("now")))
+    earlier = F.col("seq") < F.col("at")
+    arity, n = F.col("arity"), F.size("args")
+    fits = F.coalesce(F.when(arity > 0, n == arity).otherwise(n >= -arity) & arity.isNotNull(), F.lit(False))
+    log = rows.select("conn", "seq", "name", fits.alias("fits"))
+    calls = log.where("fits").join(at, earlier).groupBy("at", "name").agg(F.count(F.lit(1)).alias("n"))
+    calls = calls.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("calls"))
+    other = log.join(at, F.col("seq") <= F.col("at")).groupBy("at").agg(
+        F.countDistinct("conn").alias("conns"), F.count_if(~F.col("fits") & earlier).alias("rejected")
+    )
+    failed = replies.where("kind = 'error'").join(at, earlier).groupBy("at").agg(F.count(F.lit(1)).alias("failed"))
+    found = parts.join(at, earlier).groupBy("at").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    held = _versions(mutations, ks).join(at, earlier & (F.col("until").isNull() | (F.col("until") >= F.col("at"))))
+    held = held.where((F.col("expire_at") == 0) | (F.col("expire_at") > F.col("now"))).groupBy("at").agg(
+        F.count(F.lit(1)).alias("keys"), F.count_if(F.col("expire_at") != 0).alias("expires"), F.sum("bytes").alias("bytes")
+    )
+    facts = asked.select("conn", "seq", F.transform(F.slice("args", 2, F.size("args")), lambda x: F.lower(x.cast("string"))).alias("sections"), F.col("seq").alias("at"))
+    for part in (calls, other, failed, found, held):
+        facts = facts.join(part, "at", "left")
+    facts = facts.na.fill(0, ["rejected", "failed", "hits", "misses", "keys", "expires", "bytes"])
+
+    @F.udf("binary")
+    def text(sections, row):
+        return info_text(sections, {**row.asDict(), "calls": row.calls or {}}).encode()
+
+    names = ["calls", "conns", "rejected", "failed", "hits", "misses", "keys", "expires", "bytes"]
+    return facts.select(
+        "conn", "seq", F.lit("verbatim").alias("kind"), F.lit(None).cast("bigint").alias("i"), text("sections", F.struct(*names)).alias("s"),
+        F.lit(None).cast("string").alias("err"), F.lit(None).cast(_ELEM).alias("elems"),
+    )
+
+
+def _versions(mutations: DataFrame, ks: DataFrame | None) -> DataFrame:
+    """seq, key, expire_at, bytes, until: the versions of each key and the seq that ended them."""
     from pyspark.sql import Window
 
-    until = F.lead("seq").over(Window.partitionBy("key").orderBy("seq"))
-    h = versions.withColumn("until", until).where("NOT gone").alias("h")
+    size = (F.octet_length("key") + F.octet_length("value") + 64).cast("bigint").alias("bytes")
+    versions = mutations.select("seq", "key", "expire_at", "gone", size)
+    if ks is not None:
+        versions = versions.unionByName(ks.select(F.lit(-1).cast("bigint").alias("seq"), "key", "expire_at", F.lit(False).alias("gone"), size))
+    return versions.withColumn("until", F.lead("seq").over(Window.partitionBy("key").orderBy("seq"))).where("NOT gone").drop("gone")
+
+
+def _global_reads(spark: SparkSession, asked: DataFrame, mutations: DataFrame, ks: DataFrame | None) -> DataFrame:
+    """Replies of reads of all keys, from the versions that were current at their seq."""
+    h = _versions(mutations, ks).alias("h")
     met = F.broadcast(asked.select("conn", F.col("seq").alias("at"), "now_ms", "name", "args")).join(
         h,
         (F.col("h.seq") < F.col("at"))

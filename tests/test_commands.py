@@ -3,6 +3,7 @@ import random
 from keyloom.plans import commands
 from keyloom.plans.machine import Machine
 from keyloom.plans.table import key_places, table
+from keyloom.sources import resp
 
 START = 1_700_000_000_000
 KEYS = [f"k{i}".encode() for i in range(10)]
@@ -93,3 +94,27 @@ def test_a_long_chain_of_renames_is_one_group(spark):
     got = {r.seq: bytes(r.s) if r.s is not None else r.err for r in replies.collect()}
     assert got == {**{k: b"OK" for k in range(len(rows) - 1)}, len(rows) - 1: b"v"}
     assert [bytes(r.key) for r in commands.keyspace_after(mutations).collect()] == [keys[-1]]
+
+
+def test_every_command_of_the_table_gets_a_reply(spark):
+    argued = {"command": [b"info", b"GET", b"nope"], "memory": [b"usage", b"k"], "object": [b"encoding", b"k"], "copy": [b"k", b"k2"], "select": [b"0"]}
+    rows = [(0, 0, START, [b"set", b"k", b"1"]), (1, 1, START, [b"get", b"k"]), (1, 2, START, [b"exists", b"k", b"none"]), (1, 3, START, [b"bogus"])]
+    rows += [(1, 4, START, [b"incr", b"k", b"1"]), (2, 5, START, [b"set", b"x", b"yz", b"px", b"100"]), (2, 6, START, [b"incr", b"x"]), (0, 7, START, [b"INFO"]), (0, 8, START + 100, [b"info", b"Keyspace"])]
+    rows += [(0, 9, START, [b"command", b"getkeys", b"mset", b"a", b"1", b"b", b"2"]), (0, 10, START, [b"command", b"docs", b"ping"]), (0, 11, START, [b"command"])]
+    for name, (arity, *_) in table().items():
+        rows.append((3, len(rows), START, [name.encode(), *argued.get(name, [b"1"] * (abs(arity) - 1))]))
+    ks = spark.createDataFrame([(b"old", b"abc", 0)], "key binary, value binary, expire_at bigint")
+    replies, _ = commands.execute(spark, spark.createDataFrame(rows, "conn bigint, seq bigint, now_ms bigint, args array<binary>"), ks)
+    got = {r.seq: r for r in replies.collect()}
+    assert sorted(got) == [r[1] for r in rows] and not [r for r in got.values() if r.err and "unknown command" in r.err and r.seq != 3]
+    assert bytes(got[8].s) == b"# Keyspace\r\ndb0:keys=2,expires=0,avg_ttl=0\r\n"
+    text = bytes(got[7].s).decode()
+    assert got[7].kind == "verbatim" and "db0:keys=3,expires=1,avg_ttl=0" in text and "used_memory_dataset:203\r\n" in text
+    for line in ("total_commands_processed:5", "total_commands_failed:3", "total_commands_rejected:2", "keyspace_hits:2", "keyspace_misses:1", "connected_clients:3", "cmdstat_set:calls=2"):
+        assert line + "\r\n" in text, line
+    elems = lambda seq: [(e.kind, e.i if e.s is None else bytes(e.s)) for e in got[seq].elems]
+    assert elems(9) == [("bulk", b"a"), ("bulk", b"b")] and (got[11].i, len([e for e in elems(11) if e == ("array", 10)])) == (67, 67)
+    wire = {r.seq: bytes(r.data) for r in resp.encode(replies).where("seq IN (10, 12)").collect()}
+    assert wire[10].startswith(b"*2\r\n$4\r\nping\r\n*6\r\n$7\r\nsummary\r\n") and wire[10].endswith(b"$5\r\narity\r\n:-1\r\n")
+    info = resp.encode(replies).where(f"seq = {next(r[1] for r in rows if r[3][:2] == [b'command', b'info'])}").first()
+    assert bytes(info.data) == b"*2\r\n*10\r\n$3\r\nget\r\n:2\r\n*2\r\n+readonly\r\n+fast\r\n:1\r\n:1\r\n:1\r\n*0\r\n*0\r\n*0\r\n*0\r\n*-1\r\n"
