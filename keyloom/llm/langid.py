@@ -4,10 +4,12 @@ Two gated recurrent layers read a text's bytes, one from either side.  Their sta
 together label every byte position with a probability for each language, and a
 document's probabilities are the mean over the positions of all its words.
 
-Texts are read word by word: a sequence is one run of non-space bytes (cut at
-``MAX_BYTES``), with states starting anew, so that a word's labels are the same
-wherever it stands.  A worker therefore runs the network once for each different
-word and adds up the results for every occurrence, whole texts always.
+Texts are read word by word: a sequence is one run of non-space bytes, with states
+starting anew, so that a word's labels are the same wherever it stands.  A worker
+therefore runs the network once for each different word and adds up the results for
+every occurrence, whole texts always.  A run of more than ``MAX_BYTES`` is labelled in
+pieces that begin and end between characters; each is read with ``CONTEXT`` bytes on
+either side, which prepare the states and are labelled with their own pieces.
 
 The network is trained here, in numpy, by backpropagation through time, on a bounded
 sample of labelled documents; weights are plain arrays of fixed size.
@@ -20,18 +22,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textops
 
 #: Bounds of the training sample: documents of each language, and words of each document.
 SAMPLE_DOCS, SAMPLE_WORDS = 250, 30
-MAX_BYTES, EMBED, HIDDEN = 24, 8, 12
+MAX_BYTES, CONTEXT, EMBED, HIDDEN = 24, 12, 8, 12
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 5
 #: Words whose results a worker keeps.
 CACHE_WORDS = 500_000
+#: Bytes of text looked at in one go; of a longer text, one part after the other.
+PART_BYTES = 1 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -179,11 +182,37 @@ def _padded(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, mask
 
 
-def label(frozen: tuple, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _between(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each place moved back to where a character begins, three bytes at most."""
+    for _ in range(3):
+        at = at - ((at < len(text)) & (at > 0) & (text[np.minimum(at, len(text) - 1)] & 0xC0 == 0x80))
+    return at
+
+
+def sequences(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, first, last, from, to) of the pieces of runs: bytes first to last are read, from to to labelled."""
+    run = np.arange(len(start))
+    if not len(start) or (end - start).max() <= MAX_BYTES:
+        return run, start, end, start, end
+    pieces = -(-(end - start) // MAX_BYTES)
+    run = np.repeat(run, pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lo = np.maximum(start[run], np.where(nth > 0, _between(text, start[run] + nth * MAX_BYTES), start[run]))
+    hi = np.where(nth + 1 < pieces[run], _between(text, np.minimum(start[run] + (nth + 1) * MAX_BYTES, end[run])), end[run])
+    first = np.maximum(start[run], _between(text, np.maximum(lo - CONTEXT, 0)))
+    last = np.maximum(hi, _between(text, np.minimum(hi + CONTEXT, end[run])))
+    whole = pieces[run] == 1
+    first, last = np.where(whole, lo, first), np.where(whole, hi, last)
+    some = hi > lo
+    return run[some], first[some], last[some], lo[some], hi[some]
+
+
+def label(frozen: tuple, data: np.ndarray, length: np.ndarray, begin=0, stop=None) -> np.ndarray:
     """Sum over the positions of each sequence of its languages' probabilities.
 
-    data: (n, L) bytes, length: sizes from 1 to L.
+    data: (n, L) bytes, length: sizes from 1 to L; positions begin to stop are summed.
     """
+    stop = length if stop is None else stop
     languages, tables, wh, wc, out, bias = frozen
     n, width = data.shape
     h2 = 2 * HIDDEN
@@ -211,7 +240,8 @@ def label(frozen: tuple, data: np.ndarray, length: np.ndarray) -> np.ndarray:
                 logits[t] += part
     np.exp(logits, out=logits)
     logits /= logits.sum(2, keepdims=True)
-    logits *= (np.arange(width)[:, None] < length)[:, :, None]
+    place = np.arange(width)[:, None]
+    logits *= ((place >= begin) & (place < stop))[:, :, None]
     return logits.sum(0)
 
 
@@ -224,50 +254,49 @@ class Labeller:
         self.keys = np.empty(0, np.uint64)
         self.sums = np.empty((0, self.n), np.float32)
 
-    def _words(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.empty((len(start), self.n), dtype=np.float32)
+    def _sums(self, text: np.ndarray, first, last, lo, hi) -> np.ndarray:
+        out = np.empty((len(first), self.n), dtype=np.float32)
+        size = last - first
         order = np.argsort(size, kind="stable")
         for a in range(0, len(order), 4096):
             rows = order[a : a + 4096]
-            width = int(size[rows].max())
-            at = np.minimum(start[rows][:, None] + np.arange(width), len(text) - 1)
-            out[rows] = label(self.frozen, text[at], size[rows])
+            at = np.minimum(first[rows][:, None] + np.arange(int(size[rows].max())), len(text) - 1)
+            out[rows] = label(self.frozen, text[at], size[rows], lo[rows] - first[rows], hi[rows] - first[rows])
         return out
 
+    def _add(self, total: np.ndarray, letters: np.ndarray, at: np.ndarray, part: np.ndarray) -> None:
+        """Adds the sums of texts laid end to end, cut at ``at``, and notes those with a letter."""
+        start, end, doc = textops.words(at, part)
+        run, first, last, lo, hi = sequences(part, start, end)
+        doc = doc[run]
+        key = textops.range_hash(textops.prefix_hash(part), first, last)
+        cut = (first < lo) | (hi < last)
+        key[cut] = textops.mix64(key[cut] ^ ((lo - first)[cut] << 16 | (hi - first)[cut]).astype(np.uint64))
+        unique, one, back = np.unique(key, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), dtype=bool)
+        inside = where < len(self.keys)
+        known[inside] = self.keys[where[inside]] == unique[inside]
+        sums = np.empty((len(unique), self.n), np.float32)
+        sums[known] = self.sums[where[known]]
+        fresh = one[~known]
+        sums[~known] = self._sums(part, first[fresh], last[fresh], lo[fresh], hi[fresh])
+        if len(self.keys) + len(fresh) <= CACHE_WORDS:
+            self.keys = np.insert(self.keys, where[~known], unique[~known])
+            self.sums = np.insert(self.sums, where[~known], sums[~known], axis=0)
+        for c in range(self.n):
+            total[:, c] += np.bincount(doc, sums[back, c], minlength=len(total))
+        flags = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part], dtype=np.int32)])
+        letters |= flags[at[1:]] > flags[at[:-1]]
+
     def pooled(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(mean probabilities by document, whether it has a letter)."""
         offsets, text = textops.buffers(column)
         total, letters = np.zeros((len(column), self.n)), np.zeros(len(column), dtype=bool)
-        for i, j in textops.chunks(offsets, 4 * textops.CHUNK_BYTES):
-            at = offsets[i : j + 1] - offsets[i]
-            part = text[offsets[i] : offsets[j]]
-            if not len(part):
-                continue
-            start, end, doc = textops.words(at, part)
-            if len(start) and (end - start).max() > MAX_BYTES:
-                pieces = -(-(end - start) // MAX_BYTES)
-                which = np.repeat(np.arange(len(start)), pieces)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start, doc, stop = start[which] + nth * MAX_BYTES, doc[which], end[which]
-                end = np.minimum(start + MAX_BYTES, stop)
-            key = textops.range_hash(textops.prefix_hash(part), start, end)
-            unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-            where = np.searchsorted(self.keys, unique)
-            known = np.zeros(len(unique), dtype=bool)
-            inside = where < len(self.keys)
-            known[inside] = self.keys[where[inside]] == unique[inside]
-            sums = np.empty((len(unique), self.n), np.float32)
-            sums[known] = self.sums[where[known]]
-            new = ~known
-            sums[new] = self._words(part, start[first[new]], (end - start)[first[new]])
-            if len(self.keys) + new.sum() <= CACHE_WORDS:
-                keys = np.concatenate([self.keys, unique[new]])
-                order = np.argsort(keys)
-                self.keys, self.sums = keys[order], np.concatenate([self.sums, sums[new]])[order]
-            for c in range(self.n):
-                total[i:j, c] = np.bincount(doc, sums[back, c], minlength=j - i)
-            flags = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
-            letters[i:j] = flags[at[1:]] > flags[at[:-1]]
+        for i, j in textops.chunks(offsets, PART_BYTES):
+            for a, b in textops.parts(text, offsets[i], offsets[j], PART_BYTES) if j == i + 1 else ((offsets[i], offsets[j]),):
+                if b > a:
+                    self._add(total[i:j], letters[i:j], np.clip(offsets[i : j + 1], a, b) - a, text[a:b])
         for d in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
             letters[d] = bool(_LETTER.search(column[int(d)].as_py()))
         weight = total.sum(1, keepdims=True)
@@ -290,14 +319,12 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     ids = labelled.select("doc_id", "lang").distinct()
-    names = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    if not names:
-        return (["und"], *Network(["und"]).frozen()[1:])
+    # one pass: a document goes on if its hash is under a threshold that leaves its language several times the sample
+    count = ids.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
     key = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = None
-    for name in names:
-        some = ids.where(F.col("lang") == name).orderBy(key, "doc_id").limit(sample_docs)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    near = ids.join(count, F.col("lang") == F.col("_lang")).where(F.pmod(key, F.lit(1 << 40)) * F.col("_n") < float((4 * sample_docs + 64) << 40))
+    first = Window.partitionBy("lang").orderBy(F.pmod(key, F.lit(1 << 40)), "doc_id")
+    chosen = near.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= sample_docs).select("doc_id", "lang")
 
     def draw(batches):
         for b in batches:
@@ -306,14 +333,17 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
                 found = text.encode().split()
                 rng = np.random.default_rng(zlib.crc32(str(d).encode()))
                 for k in np.sort(rng.permutation(len(found))[:sample_words]):
-                    rows.append(found[k][:MAX_BYTES])
+                    word = np.frombuffer(found[k], np.uint8)
+                    _, first, last, _, _ = sequences(word, np.array([0]), np.array([len(word)]))
+                    one = rng.integers(len(first))  # of a long run, one piece drawn over all of it
+                    rows.append(found[k][first[one] : last[one]])
                     langs.append(lang)
                     ids_.append(d)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids_, pa.int64()), pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["doc_id", "lang", "word"]
             )
 
-    picked = labelled.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    picked = labelled.select(F.col("doc_id").cast("long"), "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     got = picked.mapInArrow(draw, "doc_id long, lang string, word binary").orderBy("doc_id", "lang", "word").toArrow()
     names = sorted(set(got["lang"].to_pylist()))
     if not names:
@@ -342,30 +372,21 @@ def language(spark: SparkSession, docs: DataFrame, frozen: tuple | None = None,
     names = np.array([*frozen[0], "und"])
     token = zlib.crc32(b"".join(w.tobytes() for w in (*frozen[1], frozen[4])))
 
-    def run(batches):
+    def predict(text: pa.Array) -> pa.Array:
         labeller = _labellers.get(token)
         if labeller is None:
             _labellers.clear()
             labeller = _labellers[token] = Labeller(frozen)
-        for b in batches:
-            p, letters = labeller.pooled(b.column("text"))
-            p = np.round(p, 5)
-            best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
-            score = np.where(letters, p[np.arange(len(p)), best], 0.0)
-            best = np.where(letters, best, len(names) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)],
-                [b.schema.names[0], "held_out", "lang_pred", "score"],
-            )
-
-    first = F.struct(*docs.columns).alias("_row") if carry else F.col("doc_id").cast("long")
-    rows = docs.select(first, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    out = T.StructType(
-        [
-            T.StructField("_row" if carry else "doc_id", rows.schema[0].dataType),
-            T.StructField("held_out", T.BooleanType()),
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    return rows.mapInArrow(run, out)
+        p, letters = labeller.pooled(text)
+        p = np.round(p, 5)
+        best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
+        score = np.where(letters, p[np.arange(len(p)), best], 0.0)
+        best = np.where(letters, best, len(names) - 1)
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    # Only texts go to Python. Not deterministic as far as Catalyst is concerned: a filter on
+    # the result must not be a reason to run it twice.
+    found = F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
+    first = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row") if carry else F.col("doc_id").cast("long")
+    rows = docs.select(first, held_out(F.col("doc_id")).alias("held_out"), found(F.col("text").cast("string")).alias("_found"))
+    return rows.select("_row" if carry else "doc_id", "held_out", "_found.lang_pred", "_found.score")

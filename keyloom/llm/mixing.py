@@ -30,7 +30,7 @@ from .common import materialise, shared_dir
 PHI = (math.sqrt(5) - 1) / 2
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
 MIN_BLOCK = 64
-MAX_SOURCES = 1_000_000
+MAX_SOURCES, SOURCE_SLOTS = 1_000_000, 16
 
 
 def words_of(text):
@@ -59,16 +59,13 @@ def targets(sizes: dict, weights=(1, 2, 3), max_repeats: int = 3) -> dict:
     return out
 
 
-def source_targets(spark: SparkSession, sized: DataFrame, weights, max_repeats) -> DataFrame:
-    """source, n_docs, source_size, target; one row a source, at most MAX_SOURCES of them."""
+def source_targets(spark: SparkSession, sized: DataFrame, weights, max_repeats) -> list[tuple]:
+    """(source, n_docs, source_size, target); one a source, at most MAX_SOURCES of them, in order."""
     rows = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found = targets({r.source: r.t for r in rows}, weights, max_repeats)
-    return spark.createDataFrame(
-        [(r.source, r.n, r.t, found[r.source]) for r in rows],
-        "source string, n_docs long, source_size long, target double",
-    )
+    return sorted(((r.source, r.n, r.t, found[r.source]) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
 
 
 def mix(
@@ -78,29 +75,33 @@ def mix(
     max_repeats: int = 3,
     slots: int = 1 << 16,
     seed: int = 7,
+    keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(taken, schedule).
 
     taken: doc_id, source, size, source_size, target, taken (tokens the mix takes
-    of the document, repeats counted).  schedule: slot, source, rank, block, pass_no,
+    of the document, repeats counted), and the columns of ``keep``.  schedule: slot, source, rank, block, pass_no,
     block_tokens, block_size.
 
     Null text has size 0; sizes of 0 take 0.  A null source is a source of its own,
     after all others.  Rows repeated with one doc_id follow each other in the stream
     in an order fixed by their size.  An empty table gives two empty results.  Only
-    doc_id, text and source are read.
+    doc_id, text and source are read, and ``keep``.  There are ``slots`` slots, or
+    SOURCE_SLOTS for each source if that is more; over MAX_SOURCES sources are an error,
+    as the targets are worked out on the driver.
     """
     folder = shared_dir(spark)
     sized = materialise(
-        spark, docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), folder, "sizes"
+        spark, docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *keep), folder, "sizes"
     )
-    sources = source_targets(spark, sized, weights, max_repeats)
-    plan = schedule(spark, sources, slots)
+    found = source_targets(spark, sized, weights, max_repeats)
+    sources = spark.createDataFrame(found, "source string, n_docs long, source_size long, target double")
+    plan = schedule(spark, found, max(slots, SOURCE_SLOTS * len(found)))
     plan = materialise(spark, plan, folder, "schedule")
-    return _taken(sized, sources, plan, seed), plan
+    return _taken(sized, sources, plan, seed, keep), plan
 
 
-def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
+def schedule(spark: SparkSession, sources: list[tuple], slots: int) -> DataFrame:
     """The slots: slot, source, rank, block, pass_no, block_tokens, block_size.
 
     A slot's source is the one whose stretch of the cumulative targets holds the
@@ -109,8 +110,7 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     slot a source needs is cut to its target and those past it stay empty, while a
     source short of slots gets its rest at the end.
     """
-    rows = sorted(sources.collect(), key=lambda r: (r.source is None, r.source or ""))
-    total = sum(r.target for r in rows)
+    total = sum(target for *_, target in sources)
     if not total:
         return spark.createDataFrame(
             [],
@@ -119,9 +119,9 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     block = max(MIN_BLOCK, math.ceil(total / slots))
     n = math.ceil(total / block)
     edges, upto = [], 0.0
-    for r in rows:
-        edges.append((r.source, upto / total, (upto + r.target) / total, r.source_size, math.floor(r.target)))
-        upto += r.target
+    for source, _, size, target in sources:
+        edges.append((source, upto / total, (upto + target) / total, size, math.floor(target)))
+        upto += target
     stretch = spark.createDataFrame(edges, "source string, lo double, hi double, source_size long, want long")
     point = F.expr(f"pmod((id + 1) * {PHI!r}D, 1D)")
     # Each point looks its source up in the sorted edges: cells of the unit interval
@@ -184,7 +184,7 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def _taken(sized: DataFrame, sources: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def _taken(sized: DataFrame, sources: DataFrame, plan: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lay the documents out as their source's stream and join its blocks with the slots.
 
     A document's piece in a block is taken by every slot that takes the block whole,
@@ -202,7 +202,7 @@ def _taken(sized: DataFrame, sources: DataFrame, plan: DataFrame, seed: int) ->
     sums = sums.withColumn(
         "_before", F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_sum")
     ).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_before")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size")
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *keep)
     laid = (
         keyed.withColumn("_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
@@ -213,7 +213,7 @@ def _taken(sized: DataFrame, sources: DataFrame, plan: DataFrame, seed: int) ->
         F.collect_list("block_tokens").alias("_slots")
     )
     first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("size") - 1) / size)
-    base = ["doc_id", "source", "size", "source_size", "target"]
+    base = ["doc_id", "source", "size", "source_size", "target", *keep]
     pieces = laid.where("size > 0").select(*base, "_at", F.explode(F.sequence(first, last)).alias("_block"))
     begin = F.greatest(F.lit(0), F.col("_at") - F.col("_block") * size)
     end = F.least(F.lit(size), F.col("_at") + F.col("size") - F.col("_block") * size)

@@ -69,6 +69,19 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def parts(text: np.ndarray, first: int, last: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Stretches of one text of about ``limit`` bytes, cut at spaces; without any, between characters."""
+    while last - first > 2 * limit:
+        end = first + limit
+        space = np.flatnonzero(_IS_SPACE[text[end : end + limit]])
+        end += int(space[0]) if len(space) else 0
+        while text[end] & 0xC0 == 0x80:
+            end -= 1
+        yield int(first), int(end)
+        first = end
+    yield int(first), int(last)
+
+
 def lowered(text: np.ndarray) -> np.ndarray:
     return _LOWER[text]
 
