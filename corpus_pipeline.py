@@ -7,7 +7,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import ascii_lower, materialise, shared_dir
@@ -57,14 +57,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document comes as often as its taken tokens make up its size, rounded, so a
     source's sum stays near its target; one without words takes none and stays once.
+    Rows count each by itself, those that repeat a doc_id or are null too.
     """
-    taken, _ = mix(spark, docs)
-    times = taken.groupBy("doc_id").agg(
-        F.max(F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"), 0)).cast("int")).alias("_times")
-    )
-    times = times.withColumnRenamed("doc_id", "_times_id").where("_times > 0")
-    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_times_id")))
-    return repeated.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    row = ["doc_id", "source", "_text_hash"]
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    taken, _ = mix(spark, keyed, keep=("_text_hash",))
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"), 0)).cast("int")
+    times = taken.select(*row, whole.alias("_times"))
+    if not keyed.groupBy(*row).count().where("count > 1").isEmpty():  # rows alike: one takes the first count, one the next
+        keyed = keyed.withColumn("_alike", F.row_number().over(Window.partitionBy(*row).orderBy(*docs.columns)))
+        times = times.withColumn("_alike", F.row_number().over(Window.partitionBy(*row).orderBy("_times")))
+        row = [*row, "_alike"]
+    times = times.where("_times > 0").select("_times", *(F.col(c).alias(f"_of_{c}") for c in row))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in row]
+    repeated = keyed.join(times, same).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
