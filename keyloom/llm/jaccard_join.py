@@ -13,9 +13,13 @@ of a heavy set's size enter the lists too.  The boundary is where the cost of li
 subsets meets that of scanning lists, from the sizes and list lengths of this corpus.
 
 Candidates are pruned exactly: by size, by the shingle's position, and by the number of
-hits that a link needs within both prefixes.  Lists over LONG members are not paired
-all with all: each member meets the list's central one, and only sets that remain in
-different components after that meet each other.  Survivors are verified on whole sets.
+hits that a link needs within both prefixes.  Survivors are verified on whole sets.
+
+Lists over LONG members give no pairs of their own.  Each member meets the list's central
+set; lists with one central set make a family, and sets of a family that are still in
+different components then meet in blocks: two blocks of whole sets go to one task, which
+counts common shingles and sends back links that connect what links at all, no more than
+it has sets.  So a set travels once a block, not once a pair.
 
 Everything is spread over Spark: sets travel as blocks of hashes, links and components
 stay in tables, and the shared folder cuts the lineage between rounds.
@@ -37,21 +41,41 @@ from .textops import mix64
 FREQUENT, LONG = 32, 64
 #: Frequent shingles that every worker knows (8 bytes each); more of them only make lists longer.
 MAX_KNOWN = 1 << 20
-#: Bits of the filter that spares documents without candidates the verification.
+#: Bits of the filter that spares documents without candidates the verification; a full one drops nothing.
 FILTER_BITS = 1 << 25
+#: Sets and shingles of a block of a family, about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles of lower hash are counted: more of a set than its prefix holds.
 COUNTED = np.uint64(3 << 61)
-FLUSH = 1 << 20
+FLUSH, SEEN = 1 << 19, 1 << 17
 STAR = 512
+_SEEDS = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], dtype=np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """64-bit identity of a set, as a signed number."""
-    mixed = mix64(shingles ^ np.uint64(0x6A09E667F3BCC909))
+def set_hash(shingles: np.ndarray, which: int = 0) -> int:
+    """One of two independent 64-bit hashes of a set, as a signed number."""
+    mixed = mix64(shingles ^ _SEEDS[which])
     h = mix64(np.array([np.add.reduce(mixed), np.bitwise_xor.reduce(mixed)], dtype=np.uint64))
     return int((mix64(h[:1] ^ (h[1:] << np.uint64(1))) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+class SetId:
+    """64-bit identity of a set: its first hash, or the second where sets clash in the first.
+
+    ``bits`` shortens the first hash, so that tests can make sets clash.
+    """
+
+    def __init__(self, bits: int = 64, clashes: frozenset = frozenset()):
+        self.shift, self.clashes = 64 - bits, clashes
+
+    def first(self, shingles: np.ndarray) -> int:
+        return set_hash(shingles) >> self.shift
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        sid = self.first(shingles)
+        return set_hash(shingles, 1) if sid in self.clashes else sid
+
+
 def prefix_size(n):
     """Shingles of a set of n of which a linked set shares one."""
     return n - -(-3 * n // 4) + 1
@@ -105,25 +129,40 @@ def _unblock(column, kinds: list) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, sid, n for each document: identity and size of its set."""
+def profile(docs: DataFrame, set_id: SetId) -> DataFrame:
+    """doc_id, text_hash, sid, other, n for each document: both hashes of its set and their number."""
 
     def run(batches):
         for b in batches:
-            found = [(set_id(s) if len(s) else 0, len(s)) for _, s in textops.shingle_sets(b.column("text"))]
+            found = [(set_id.first(s), set_hash(s, 1), len(s)) if len(s) else (0, 0, 0) for _, s in textops.shingle_sets(b.column("text"))]
+            sid, other, n = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
-                ["doc_id", "sid", "n"],
+                [b.column("doc_id"), b.column("text_hash"), *(pa.array(c, pa.int64()) for c in (sid, other, n))],
+                ["doc_id", "text_hash", "sid", "other", "n"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, sid long, n long")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, sid long, other long, n long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
 
+def _apart(sets: DataFrame, bits: int) -> tuple[DataFrame, SetId]:
+    """The profile with one sid for each different set, and what computes it.
 
-def frequent_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
+    Among N sets some N * N / 2^65 pairs share a first hash, so the list of clashes that
+    the driver gathers is short: a few hundred for 1e11 sets.
+    """
+    mixed = sets.where("n > 0").groupBy("sid").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+    clashes = [r.sid for r in mixed.select("sid").collect()]
+    if clashes:
+        sets = sets.withColumn("sid", F.when((F.col("n") > 0) & F.col("sid").isin(clashes), F.col("other")).otherwise(F.col("sid")))
+    return sets.drop("other"), SetId(bits, frozenset(clashes))
+
+
+def frequent_shingles(docs: DataFrame, set_id: SetId, buckets: int) -> tuple[np.ndarray, float]:
     """(sorted shingles in more than FREQUENT sets, mean length of the list of an entry).
 
     Counted over all documents, among the shingles below COUNTED that prefixes draw on.
@@ -144,7 +183,7 @@ def frequent_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]
             for _, s in textops.shingle_sets(b.column("text")):
                 low = s[: np.searchsorted(s, COUNTED)]
                 if len(s) and (sid := set_id(s)) not in seen:
-                    if len(seen) < FLUSH:
+                    if len(seen) < SEEN:
                         seen.add(sid)
                     blocks.add(low, low)
                 if blocks.size >= FLUSH:
@@ -169,18 +208,17 @@ def frequent_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]
             }
         )
 
-    counted = _texts(docs).mapInArrow(count, "bucket int, data binary")
+    counted = _texts(docs).select("text").mapInArrow(count, "bucket int, data binary")
     totals = counted.groupBy("bucket").applyInArrow(total, "token long, df long, entries long, squares long")
     rows = totals.groupBy(F.when(F.col("df") > 0, F.col("token")).alias("token")).agg(
         F.sum("df").alias("df"), F.sum("entries").alias("entries"), F.sum("squares").alias("squares")
     )
     top = rows.orderBy(F.col("token").isNotNull(), F.desc("df"), "token").limit(MAX_KNOWN + 1).toArrow()
-    token, df = top["token"].to_pylist(), top["df"].to_numpy()
+    token = top["token"].to_pylist()
     known = np.array([t for t in token if t is not None], dtype=np.int64).view(np.uint64)
     plain = [i for i, t in enumerate(token) if t is None]
     entries = sum(top["entries"][i].as_py() or 0 for i in plain)
     squares = sum(top["squares"][i].as_py() or 0 for i in plain)
-    del df
     return np.sort(known), squares / max(entries, 1)
 
 
@@ -208,7 +246,7 @@ def boundary(sizes: dict[int, int], list_length: float, scan: float = 0.5, most:
 _ENTRY = ["u8", "i8", "u4", "i4"]
 
 
-def candidates(docs: DataFrame, known: np.ndarray, light: int, buckets: int) -> DataFrame:
+def candidates(docs: DataFrame, set_id: SetId, known: np.ndarray, light: int, buckets: int) -> DataFrame:
     """kind, a, b, na, nb, hits, pa, pb: what the keys and lists bring together.
 
     kind 0: sets a < b that met in ``hits`` lists of at most LONG members; kind 1: sets
@@ -226,7 +264,7 @@ def candidates(docs: DataFrame, known: np.ndarray, light: int, buckets: int) ->
                 sid = set_id(s)
                 if sid in seen:
                     continue
-                if len(seen) < FLUSH:
+                if len(seen) < SEEN:
                     seen.add(sid)
                 p = prefix_size(n)
                 often = np.zeros(n, dtype=bool)
@@ -288,7 +326,7 @@ def candidates(docs: DataFrame, known: np.ndarray, light: int, buckets: int) ->
             out.append(_rows(sub[first], a[first], b[first], n[x], n[y], hits, 0, 0))
         return pa.concat_tables(out)
 
-    entries = _texts(docs).mapInArrow(index, "bucket int, data binary")
+    entries = _texts(docs).select("text").mapInArrow(index, "bucket int, data binary")
     return entries.groupBy("bucket").applyInArrow(
         scan, "kind int, a long, b long, na long, nb long, hits long, pa long, pb long"
     )
@@ -343,50 +381,146 @@ def _meets(x: str, y: str):
     return fits & ((px < 0) | (enough & (1 + F.least(nx - 1 - px, ny - 1 - py) >= need)))
 
 
-def _first_meetings(entries: DataFrame) -> DataFrame:
-    """Pairs of every member of a long list with the list's central member.
+def _central(entries: DataFrame) -> DataFrame:
+    """The central member of each long list: the one that is in most long lists.
 
-    That is the one in most long lists: a set from which others were varied shares more
-    with each of them than they share with each other.
+    A set from which others were varied shares more with each of them than they share
+    with each other.
     """
     often = entries.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
     first = entries.join(often, "b").groupBy("a").agg(F.max(F.struct("k", "b", "nb", "pb", "kb")).alias("f"))
-    first = first.select("a", "f.b", "f.nb", "f.pb", "f.kb")
-    met = entries.alias("x").join(first.alias("y"), F.col("x.a") == F.col("y.a")).where(_meets("x", "y") & (F.col("x.b") != F.col("y.b")))
-    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    return first.select("a", "f.b", "f.nb", "f.pb", "f.kb")
+
 
+def _first_meetings(entries: DataFrame, central: DataFrame) -> DataFrame:
+    """Pairs of a list's central member (a) with every member of the list."""
+    met = entries.alias("x").join(central.alias("y"), F.col("x.a") == F.col("y.a")).where(_meets("x", "y") & (F.col("x.b") != F.col("y.b")))
+    return met.select(F.col("y.b").alias("a"), F.col("x.b").alias("b")).distinct()
 
-def _late_meetings(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of a long list that are still in different components.
 
-    A list's largest component is one side only: its members needn't meet each other.
+def _family_blocks(entries: DataFrame, central: DataFrame, labels: DataFrame) -> DataFrame:
+    """family, i, j, late, sid, root: the blocks of sets that must meet, pairwise.
+
+    A family is all members of the long lists with one central set.  Its largest
+    component needn't meet itself; sets of the others (late) meet all of the family.
     """
-    own = entries.join(labels.select(F.col("v").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    sizes = own.groupBy("a", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("a").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-    mixed = own.join(main.where("roots > 1").select("a", F.col("m.root").alias("main")), "a")
-    met = (
-        mixed.where("root <> main")
-        .alias("x")
-        .join(mixed.alias("y"), F.col("x.a") == F.col("y.a"))
-        .where((F.col("x.root") != F.col("y.root")) & _meets("x", "y"))
+    member = entries.select("a", "b", "nb").join(central.select("a", F.col("b").alias("family")), "a")
+    member = member.select("family", "b", "nb").distinct()
+    own = member.join(labels.select(F.col("v").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    sizes = own.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("nb").alias("w"))
+    blocks = lambda k, w: F.greatest(F.ceil(k / BLOCK_SETS), F.ceil(w / BLOCK_SHINGLES)).cast("long")
+    facts = sizes.groupBy("family").agg(
+        F.max(F.struct("w", "root", "k")).alias("m"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots")
+    )
+    facts = facts.where("roots > 1").select(
+        "family", F.col("m.root").alias("main"),
+        blocks(F.col("k") - F.col("m.k"), F.col("w") - F.col("m.w")).alias("rows"), blocks(F.col("k"), F.col("w")).alias("columns"),
     )
-    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    mixed = own.join(facts, "family")
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    late = mixed.where("root <> main").select("family", place("rows").alias("i"), all_of("columns").alias("j"), F.lit(True).alias("late"), F.col("b").alias("sid"), "root")
+    rest = mixed.select("family", all_of("rows").alias("i"), place("columns").alias("j"), F.lit(False).alias("late"), F.col("b").alias("sid"), "root")
+    return late.unionByName(rest)
 
 
-def verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets with sets, each a sorted array.
 
-    ``owners``: sid, doc_id of one document with the set.  A pair goes to the group of a;
-    a group of many is split, and a's set goes to each part.
+    A shingle that many sets of both sides hold is counted by a matrix product, one in
+    few of them by listing its pairs; either way one count a pair of sets is kept.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("parts"))
-    placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    ask = placed.select("a", "part", F.col("b").alias("sid"), F.lit(False).alias("first")).unionByName(
-        placed.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("first")).distinct()
-    )
-    ask = ask.join(owners, "sid")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    out = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    size = [np.array([len(s) for s in side], dtype=np.int64) for side in (rows, columns)]
+    token, number = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
+    split = size[0].sum()
+    held = [np.bincount(x, minlength=len(token)) for x in (number[:split], number[split:])]
+    pairs = held[0] * held[1]
+    often = pairs > out.size // 64
+    shared = pairs > 0
+    owner = [np.repeat(np.arange(len(n)), n) for n in size]
+    entry = [number[:split], number[split:]]
+    dense = np.flatnonzero(shared & often)
+    for k in range(0, len(dense), 1024):
+        place = np.full(len(token), -1)
+        place[dense[k : k + 1024]] = np.arange(len(dense[k : k + 1024]))
+        sides = []
+        for o, e, n in zip(owner, entry, size):
+            hit = place[e] >= 0
+            m = np.zeros((len(n), min(1024, len(dense) - k)), dtype=np.float32)
+            m[o[hit], place[e[hit]]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    few = shared & ~often
+    side = []
+    for o, e in zip(owner, entry):
+        some = few[e]
+        order = np.argsort(e[some], kind="stable")
+        side.append((e[some][order], o[some][order]))
+    (e, left), (f, right) = side
+    if len(e):
+        begin, times = np.searchsorted(f, e), held[1][e]
+        upto = np.cumsum(times)
+        at = 0
+        while at < len(e):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), side="right")))
+            t = times[at:stop]
+            shift = np.repeat(begin[at:stop] - (np.cumsum(t) - t), t)
+            pair = np.repeat(left[at:stop], t) * len(columns) + right[shift + np.arange(len(shift))]
+            out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+            at = stop
+    return out
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) links that connect all that ``linked`` connects, fewer than its rows and columns."""
+    rows, columns, out = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool), []
+    for start in np.flatnonzero(linked.any(1)).tolist():
+        if rows[start]:
+            continue
+        rows[start], queue = True, [start]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & ~columns)
+            if not len(new):
+                continue
+            columns[new] = True
+            out += [(i, j) for j in new.tolist()]
+            part = linked[:, new]
+            for k in np.flatnonzero(part.any(1) & ~rows).tolist():
+                rows[k] = True
+                out.append((k, int(new[part[k].argmax()])))
+                queue.append(k)
+    return out
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Links between the late sets of a pair of blocks and the other block's, enough to connect them."""
+    table = table.combine_chunks()
+    late, sid, root = (table[c].to_numpy() for c in ("late", "sid", "root"))
+    sides = []
+    for some in (np.flatnonzero(late), np.flatnonzero(~late)):
+        own, first = np.unique(sid[some], return_index=True)
+        sides.append((own, root[some[first]], [np.frombuffer(table["data"][int(k)].as_py(), np.uint64) for k in some[first]]))
+    (a, ra, x), (b, rb, y) = sides
+    links = []
+    if len(a) and len(b):
+        both = overlaps(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
+        links = spanning((100 * both >= 75 * (total - both)) & (ra[:, None] != rb))
+    return pa.table({"a": pa.array([int(a[i]) for i, _ in links], pa.int64()), "b": pa.array([int(b[j]) for _, j in links], pa.int64())})
+
+
+def family_links(docs: DataFrame, owners: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets of each family that link, whichever component they were in."""
+    met = _with_sets(docs, owners, blocks)
+    return met.select("family", "i", "j", "late", "sid", "root", "data").groupBy("family", "i", "j").applyInArrow(_meet, "a long, b long")
+
+
+def _with_sets(docs: DataFrame, owners: DataFrame, ask: DataFrame) -> DataFrame:
+    """``ask`` (with column sid) with the sets as ``data``, read again from the documents that own them."""
+    ask = ask.join(owners.select("sid", "own.doc_id", "own.text_hash"), "sid")
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
     rows = (
         ask.select(bit.alias("h"))
         .groupBy(F.expr("bitmap_bucket_number(h)").alias("k"))
@@ -399,19 +533,42 @@ def verify(spark: SparkSession, docs: DataFrame, owners: DataFrame, pairs: DataF
         wanted[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
 
     def sets(batches):
+        seen = set()  # rows that repeat both doc_id and text are one
         for b in batches:
             # bit_position gives 0-based places inside bucket k, which covers (k - 1) * 32768 + 1 .. k * 32768
             h = b.column("h").to_numpy()
             k = np.where(h > 0, 1 + (h - 1) // 32768, -(-h // 32768))
             place = np.where(h > 0, (h - 1) % 32768, (-h) % 32768)
-            keep = np.flatnonzero(wanted[k * 4096 + place // 8] >> (place % 8) & 1)
-            if len(keep):
-                some = b.take(pa.array(keep))
+            keep = []
+            for i in np.flatnonzero(wanted[k * 4096 + place // 8] >> (place % 8) & 1).tolist():
+                row = (b.column("doc_id")[i].as_py(), b.column("text_hash")[i].as_py())
+                if row not in seen:
+                    keep.append(i)
+                    if len(seen) < SEEN:
+                        seen.add(row)
+            for k in range(0, len(keep), 512):
+                some = b.take(pa.array(keep[k : k + 512]))
                 data = [s.tobytes() for _, s in textops.shingle_sets(some.column("text"))]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("text_hash"), pa.array(data, pa.binary())], ["_doc_id", "_text_hash", "data"]
+                )
+
+    found = _texts(docs).withColumn("h", bit).mapInArrow(sets, "_doc_id long, _text_hash long, data binary")
+    return found.join(ask, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
+
+
+def verify(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link.
 
-    hashed = _texts(docs).where("doc_id IS NOT NULL").withColumn("h", bit)
-    members = hashed.mapInArrow(sets, "doc_id long, data binary").join(ask, "doc_id")
+    ``owners``: sid, own (doc_id and text_hash of one document with the set).  A pair goes
+    to the group of a; a group of many is split, and a's set goes to each part.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("parts"))
+    placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    ask = placed.select("a", "part", F.col("b").alias("sid"), F.lit(False).alias("first")).unionByName(
+        placed.select("a", "part", F.col("a").alias("sid"), F.lit(True).alias("first")).distinct()
+    )
+    members = _with_sets(docs, owners, ask)
 
     def check(table: pa.Table) -> pa.Table:
         first = table["first"].to_numpy()
@@ -434,51 +591,50 @@ def components(spark: SparkSession, links: DataFrame, folder: str, name: str) ->
     return star_components(links, lambda df, k: materialise(spark, df, folder, f"{name}-{k}"))
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(spark: SparkSession, docs: DataFrame, id_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
-    classes: doc_id, n_shingles, sid (the document's class of equal sets), component_id,
+    classes: doc_id, text_hash (xxhash64 of the text), n_shingles, sid (the document's
+    class of equal sets), root (of its component; null for an empty set), component_id,
     the smallest doc_id reachable by links.  links: a, b, verified pairs of classes that
     connect every component; with the classes they lose no connection.
 
     Null and empty texts have empty sets and link with nothing: their component is their
-    own doc_id.  Rows repeated with one doc_id share a component if their sets do.  A
-    null doc_id is never the smallest unless all of a component are null.  An empty table
-    gives two empty results.  Only doc_id and text are read.
+    own doc_id.  Every row has its own set, whatever its doc_id: rows that repeat one, or
+    have none, link as their texts do.  A null doc_id is never the smallest unless all of
+    a component are null.  An empty table gives two empty results.  Only doc_id and text
+    are read.
     """
     folder = shared_dir(spark)
-    sets = materialise(spark, profile(docs), folder, "sets")
-    owners = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    sets, set_id = _apart(materialise(spark, profile(docs, SetId(id_bits)), folder, "sets"), id_bits)
+    owners = sets.where("n > 0").groupBy("sid").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("own"), F.min("doc_id").alias("smallest"), F.max("n").alias("n")
+    )
     total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000 + 1)
-    known, list_length = frequent_shingles(docs, buckets)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
+    known, list_length = frequent_shingles(docs, set_id, buckets)
     sizes = {r["n"]: r["count"] for r in owners.where("n BETWEEN 3 AND 64").groupBy("n").count().collect()}
     light = boundary(sizes, list_length)
-    found = materialise(spark, candidates(docs, known, light, buckets), folder, "found")
+    found = materialise(spark, candidates(docs, set_id, known, light, buckets), folder, "found")
     entries = materialise(spark, _long_entries(found), folder, "entries")
-    has_long = not entries.isEmpty()
-    # a set's own document, for the few sets that have candidates
-    held = owners.where("doc_id IS NOT NULL").select("sid", "doc_id")
+    central = None if entries.isEmpty() else materialise(spark, _central(entries), folder, "central")
     pairs = _prune(found)
-    if has_long:
-        pairs = pairs.unionByName(_first_meetings(entries)).distinct()
-    links = materialise(spark, verify(spark, docs, held, materialise(spark, pairs, folder, "pairs")), folder, "links")
+    if central is not None:
+        pairs = pairs.unionByName(_first_meetings(entries, central))
+    links = materialise(spark, verify(docs, owners, materialise(spark, pairs, folder, "pairs")), folder, "links")
     roots = components(spark, links, folder, "first")
-    if has_long:
-        late = _late_meetings(entries, roots).distinct().join(pairs, ["a", "b"], "left_anti")
-        late = materialise(spark, late, folder, "late")
-        if not late.isEmpty():
-            more = materialise(spark, verify(spark, docs, held, late), folder, "more-links")
+    if central is not None:
+        blocks = materialise(spark, _family_blocks(entries, central, roots), folder, "blocks")
+        if not blocks.isEmpty():
+            more = materialise(spark, family_links(docs, owners, blocks), folder, "more-links")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 roots = components(spark, links, folder, "second")
-    classes = owners.select("sid", "doc_id").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
+    classes = owners.select("sid", "smallest").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
     classes = classes.withColumn("root", F.coalesce("root", "sid"))
-    smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = classes.join(smallest, "root").select("sid", "component_id")
-    out = (
-        sets.where("n > 0").join(by_class, "sid").select("doc_id", F.col("n").alias("n_shingles"), "sid", "component_id")
-    ).unionByName(
-        sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.col("doc_id").alias("component_id"))
-    )
-    return out, links
+    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    by_class = classes.join(smallest, "root").select("sid", "root", "component_id")
+    base = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid"]
+    out = sets.where("n > 0").join(by_class, "sid").select(*base, "root", "component_id")
+    empty = sets.where("n = 0").select(*base, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(empty), links

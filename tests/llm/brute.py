@@ -38,6 +38,16 @@ def jaccard_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def united(pairs):
+    """The smallest member of each member's component."""
+    found = {}
+    for a, b in pairs:
+        one = found.get(a, {a}) | found.get(b, {b})
+        for x in one:
+            found[x] = one
+    return {x: min(some) for x, some in found.items()}
+
+
 def suffix_removed(rows, length=50):
     first = {}
     for i, t in sorted(rows):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from keyloom.llm import exact_dedup as exact
@@ -53,6 +54,60 @@ def test_jaccard_join_edges(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in twice if r.n_shingles) == [(False, 1), (False, 1), (True, 1)]
 
 
+def by_rows(rows):
+    """What brute force says of rows whose doc_ids are null or repeated: sorted (doc_id, n, component)."""
+    plain = brute.jaccard_components([(k, t) for k, (_, t) in enumerate(rows)])
+    ids = {}
+    for k, (_, c) in plain.items():
+        ids.setdefault(c, []).append(rows[k][0])
+    least = {c: min((i for i in some if i is not None), default=None) for c, some in ids.items()}
+    return sorted(((rows[k][0], n, least[c]) for k, (n, c) in plain.items()), key=str)
+
+
+def test_jaccard_join_null_and_repeated_ids(spark):
+    a, o = [" ".join(f"{x}{k}" for k in range(40)) for x in "ao"]
+    rows = [(1, a), (1, o), (2, a + " b"), (3, o + " p"), (None, o + " q"), (None, "z " + a), (None, "lone words of a text without id")]
+    rows += [(None, " ".join(f"n{k}" for k in range(30))), (None, " ".join(f"n{k}" for k in range(31)))]
+    got = join.jaccard_join(spark, edge(spark, rows))[0]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == by_rows(rows)
+
+
+def test_jaccard_join_when_hashes_of_sets_clash(spark):
+    rows = near_copies()
+    for bits in (3, 7):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in join.jaccard_join(spark, edge(spark, rows), id_bits=bits)[0].collect()}
+        assert got == brute.jaccard_components(rows)
+
+
+def test_jaccard_join_families_in_blocks(spark, monkeypatch):
+    """Varied copies of texts that are not there themselves, most pairs just short of a link."""
+    for name, value in (("LONG", 8), ("FREQUENT", 6), ("BLOCK_SETS", 16)):
+        monkeypatch.setattr(join, name, value)
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        w = [f"b{i % 3}_{k}" for k in range(120)]
+        for k in rng.sample(range(120), rng.choice([2, 3, 3, 4])):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join.jaccard_join(spark, edge(spark, rows))[0].collect()}
+    assert got == brute.jaccard_components(rows)
+    assert 6 < len({c for _, c in got.values()}) < 240
+
+
+def test_overlaps_and_spanning_links():
+    rng = np.random.default_rng(2)
+    for most, count in ((40, 30), (4000, 30), (70, 200)):
+        sets = [np.unique(rng.integers(0, most, rng.integers(1, 60))).astype(np.uint64) for _ in range(2 * count)]
+        a, b = sets[:count], sets[count:]
+        assert (join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    linked = rng.random((40, 50)) < 0.02
+    links = join.spanning(linked)
+    assert all(linked[i, j] for i, j in links) and len(links) < 90
+    root = brute.united([(("r", i), ("c", j)) for i, j in zip(*np.nonzero(linked))])
+    assert root == brute.united([(("r", i), ("c", j)) for i, j in links])
+
+
 def test_jaccard_join_long_lists(spark, monkeypatch):
     """Passages that many sets share, and copies of them that differ a little."""
     monkeypatch.setattr(join, "LONG", 4)
