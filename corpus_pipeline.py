@@ -22,12 +22,6 @@ from keyloom.llm.queries import tokenizer_file
 MIN_SCORE = 0.35
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these doc_ids, null taken as an id like any other."""
-    chosen = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is a mere guess."""
     found = language(spark, docs, carry=True)
@@ -47,9 +41,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of similar texts."""
+    """Keeps one document of each component of similar texts, that with the smallest doc_id.
+
+    Of several rows with that doc_id one stays; documents without a word all stay.
+    """
     classes, _ = jaccard_join(spark, docs)
-    return _keep(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_hash")
+    chosen = first.unionByName(classes.where("root IS NULL").select("doc_id", "text_hash").distinct())
+    chosen = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    left = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
+    if not classes.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_text_hash"])
+    return left.drop("_text_hash")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
