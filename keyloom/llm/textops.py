@@ -22,7 +22,7 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,10 +104,13 @@ def words(offsets: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def prefix_hash(text: np.ndarray) -> np.ndarray:
-    """Running polynomial sums over the bytes; a range's hash is a difference of two."""
+def prefix_hash(text: np.ndarray, which: int = 0) -> np.ndarray:
+    """Running polynomial sums over the bytes; a range's hash is a difference of two.
+
+    ``which`` of two: their hashes are independent of each other.
+    """
     out = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[text] * _power(_B, len(text)), out=out[1:])
+    np.cumsum(_BYTE[which][text] * _power(_B, len(text)), out=out[1:])
     return out
 
 

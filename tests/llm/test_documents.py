@@ -2,7 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from keyloom.llm import langid, mixing, piece_lattice, quality_forest, secret_scan, token_store, url_filter
 from keyloom.llm.common import read_documents
@@ -91,33 +94,64 @@ def test_secret_scan(spark):
 
 def test_token_store(spark):
     path = tokenizer_file("byte_bpe_50k.json")
-    library = token_store._tokenizer(path)
+    library = Tokenizer.from_file(path)
     rng = random.Random(1)
-    bits = [" ", "  ", "a", "b'll", "\n", "\t", "é", "字", "!!", "\u00a0", "<|endoftext|>", "12"]
-    for _ in range(3000):
-        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
-        ids = np.frombuffer(token_store.encode([s], path, 2, 2)[0], np.uint16).tolist()
-        assert ids == [*library.encode(s, add_special_tokens=False).ids, 2], s
-    for df in (edge(spark, ODD), read_documents(spark, SMALL), edge(spark, [])):
-        got = sorted(map(tuple, token_store.token_store(spark, df, path, part_docs=32).collect()), key=lambda r: r[1])
-        rows = sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        want, start = [], 0
-        for i, t in rows:
-            ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
-            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-            start += len(ids)
-        assert got == want
+    bits = [" ", "  ", "a", "b'll", "'s", "'", "'re've", "\n", "\t", "é", "字", "!!", "\u00a0", "\u2003", "<|endoftext|>", "12", "²", "\x1c", "\u0378", "\U0001f600", "’"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    got = [x for _, _, some in token_store.encode(pa.array(texts), path, 2, 2) for x in some]
+    for s, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, np.uint16).tolist() == [*library.encode(s, add_special_tokens=False).ids, 2], s
+    for df in (edge(spark, [*ODD, (5, "x <|endoftext|> y", "z"), (5, "one more of it", None)]), read_documents(spark, SMALL), edge(spark, [])):
+        for part_bytes in (1000, 1 << 20):
+            got = sorted(map(tuple, token_store.token_store(spark, df, path, part_bytes=part_bytes).collect()), key=lambda r: r[1])
+            rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+            want, start = [], 0
+            for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+                ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+                want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+                start += len(ids)
+            assert got == want
+
+
+def test_pre_tokens_of_every_sure_character():
+    """Each character of the basic plane that the tables claim to know, among others, as the library cuts it."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    pre = Tokenizer.from_file(path).pre_tokenizer
+    token_store.cut(np.array([0, 1]), np.frombuffer(b"a", np.uint8))
+    sure = [chr(k) for k in np.flatnonzero(token_store._tables["all"] != token_store._UNSURE) if not 0xD800 <= k < 0xE000]
+    assert len(sure) > 40_000
+    for k in range(0, len(sure), 500):
+        text = "".join(f"a{c}b{c} {c}1{c}{c}!{c}\n{c}'s" for c in sure[k : k + 500])
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, unsure = token_store.cut(np.array([0, len(data)]), data)
+        place = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+        assert not len(unsure) and start.tolist() == [int(place[a]) for _, (a, _) in pre.pre_tokenize_str(text)]
+
+
+def test_long_texts_are_cut_where_no_token_reaches(monkeypatch):
+    path = tokenizer_file("byte_bpe_50k.json")
+    text = " ".join(f"word{k}'s  and\n{k}" for k in range(2000)) + "x" * 3000
+    whole = next(token_store.encode(pa.array([text]), path, 2, 2))
+    monkeypatch.setattr(token_store.textops, "CHUNK_BYTES", 500)
+    data = np.frombuffer(text.encode(), np.uint8)
+    pieces = list(token_store._pieces(data, 500))
+    assert len(pieces) > 20 and [a for a, _ in pieces[1:]] == [b for _, b in pieces[:-1]]
+    encoder = token_store._encoders[path, 2]
+    assert whole[2][0][:-2] == b"".join(encoder.texts(np.array([0, b - a]), data[a:b])[0].tobytes() for a, b in pieces)
 
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, u in ((0, 0), (1, 0), (1, 99), (3000, 100_000), (700, 50)):
+    for n, u in ((0, 0), (1, 0), (1, 99), (3000, 100_000), (700, 50), (300, 2**62)):
         v = np.sort(rng.integers(0, u + 1, n))
         ef = token_store.EliasFano.encode(v, u)
-        assert (ef.all() == v).all() and [ef[i] for i in range(n)] == v.tolist()
-    packed = token_store.pack([4, None], [b"\1\0\2\0", b"\3\0"], 2)
-    shard = token_store.Shard(packed)
-    assert shard.doc_ids == [4, None] and shard.document(0).tolist() == [1, 2] and shard.document(1).tolist() == [3]
+        assert [ef[i] for i in range(n)] == v.tolist()
+        again, end = token_store.EliasFano.unpack(b"xx" + ef.packed(), 2, u)
+        assert [again[i] for i in range(n)] == v.tolist() and end == 2 + len(ef.packed())
+    for names in ([None, 4], [-(2**63), 2**63 - 1], [None, None], [7, 7]):
+        shard = token_store.Shard(token_store.pack(names, [b"\1\0\2\0", b"\3\0"], 2))
+        assert [shard.doc_id(i) for i in (0, 1)] == names
+        assert shard.document(0).tolist() == [1, 2] and shard.document(1).tolist() == [3]
 
 
 def _paths(model, unit, literal):
