@@ -1,27 +1,28 @@
 """SentencePiece encoding and decoding with N-best segmentation over the piece lattice.
 
 A text's lattice has an edge for every vocabulary piece at every place.  A piece's
-score is the log of its Zipf rank, read off the model's own order.  Characters without
-a piece, and a literal U+2581, are edges of byte pieces, so that decoding gives back
-every text unchanged.
+score is the log of its Zipf rank, read off the model's own order, as a whole number of
+2^-36: sums are exact whatever their order.  Characters without a piece, line breaks and
+a literal U+2581 are edges of byte pieces, so that decoding gives back every text
+unchanged.
 
 Forward Viterbi scores give the best way from the start to each place.  N-best search
 runs A* backwards from the end with those scores as its heuristic; they are exact, so
-paths leave the queue in the order of their full scores and nothing is expanded twice
-for one result.
+paths leave the queue in the order of their full scores.  A deviation worse than the n
+best known ones is not queued at all.
 
 No piece reaches from a word into the space after it or across a line break; the only
-pieces with a space further on are runs of spaces.  So the lattice falls into units, each
-a run of spaces and the word after it.  Viterbi runs over many different units at once as arrays, and each different unit is
-solved once a worker.  The N best of a text deviate from its best only in the N - 1
-units whose second-best costs least, found from forward and backward scores; A* runs on
-these alone.
+pieces with a space further on are runs of spaces.  So the lattice falls into fragments,
+each a run of spaces and the word after it, up to a line break or a literal U+2581.
+Texts are cut into fragments as arrays; a worker solves each different fragment once,
+many of one length at a time, long ones place by place.  The N best of a text deviate
+from its best only in the N - 1 fragments whose second-best costs least, found from
+forward and backward scores; A* runs on these alone.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,30 +33,16 @@ from pyspark.sql import functions as F
 from . import textops
 
 SPACE = "▁"
-#: Cells of one array pass, and units whose solutions a worker keeps.
-CELLS, CACHE_UNITS = 1 << 17, 500_000
-_CUT = re.compile(f"([\n{SPACE}])")
-_RUN = re.compile("[ ]+[^ ]*")
+#: Cells of one array pass; a longer fragment is solved by itself.
+CELLS, LONG = 1 << 17, 256
+#: Fragments, and their ids, that a worker keeps; fragments whose N best it keeps.
+CACHE_FRAGMENTS, CACHE_IDS, CACHE_PATHS = 1_000_000, 1 << 23, 200_000
+#: One nat in scores.
+UNIT = 1 << 36
+_NONE = -(1 << 62)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _fragments(unit: str) -> list[tuple[str, bool]]:
-    """A unit cut at line breaks and at every U+2581 but a leading one: (string, whether bytes).
-
-    Spaces of the unit become U+2581 in its fragments.
-    """
-    if "\n" not in unit and SPACE not in unit[1:]:
-        return [(unit.replace(" ", SPACE), False)] if unit else []
-    parts = _CUT.split(unit[1:])
-    parts[0] = unit[0] + parts[0]
-    return [(p.replace(" ", SPACE), p == "\n" or (k > 0 and p == SPACE)) for k, p in enumerate(parts) if p]
-
-
-def _units(text: str) -> list[str]:
-    """The words of a text, each with the spaces before it but one; the text's start counts as a space."""
-    if "  " not in text and not text.startswith(" "):
-        return text.split(" ")
-    return [m[1:] for m in _RUN.findall(" " + text)]
+#: A literal U+2581 and a line break, out of the range of characters: they match no piece.
+_LITERAL, _BREAK = 0x110000 + 0x2581, 0x110000 + 0x0A
 
 
 class PieceLattice:
@@ -78,15 +65,24 @@ class PieceLattice:
                     raise ValueError(f"piece {i} reaches from a word across a space: {piece}")
                 names.append(piece)
                 ids.append(i)
-        rank = np.array([min(max(0.0, -sp.get_score(i)), n) for i in ids])
-        self.byte_score = float(-np.log(n + 3) - 1)
+        exact = lambda x: round(float(x) * UNIT)
+        self.byte_cost = exact(-np.log(n + 3) - 1)
+        self.edge_of = {p: (exact(-np.log(3 + min(max(0.0, -sp.get_score(i)), n))), i) for p, i in zip(names, ids)}
         self.ids_by_name = dict(zip(names, ids))
-        self.score_by_name = {p: float(-np.log(3 + r)) for p, r in zip(names, rank)}
+        self.score_by_name = {p: cost / UNIT for p, (cost, _) in self.edge_of.items()}
+        self.byte_score = self.byte_cost / UNIT
         self.longest = max(map(len, names), default=1)
-        hashes = np.array([self._hash(p) for p in names], dtype=np.uint64)
+        prefixes = sorted({p[:k] for p in names for k in range(1, len(p) + 1)})
+        hashes = np.array([self._hash(p) for p in prefixes], dtype=np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(ids, dtype=np.int32)[order]
-        self.scores = np.array([self.score_by_name[p] for p in names])[order]
+        found = [self.edge_of.get(p, (_NONE, -1)) for p in prefixes]
+        self.hashes = hashes[order]
+        self.costs = np.array([c for c, _ in found], dtype=np.int64)[order]
+        self.ids = np.array([i for _, i in found], dtype=np.int32)[order]
+        self.bytes_ids = np.array([self.byte_id.get(b, 0) for b in range(256)], dtype=np.uint16)
+        size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.size, self.at = size, np.cumsum(size) - size
+        self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -95,155 +91,210 @@ class PieceLattice:
             h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
         return h
 
-    def solve(self, units: list[str]) -> list[tuple[bytes, int, float, float]]:
-        """(packed ids, their number, score, loss of the second-best) of each unit's best path.
+    def _matches(self, points: np.ndarray):
+        """For each length: flat places where a prefix of that length begins, its cost and id (-1 if no piece).
 
-        A unit is a run of piece characters: a leading U+2581 stands for the space, more
-        spaces may follow it, and line breaks or U+2581 further on are byte edges.
+        Only places that begin some piece's prefix go on to the next length.
         """
-        cut = [_fragments(u) for u in units]
-        solved = self._solve(list(dict.fromkeys(p for parts in cut for p, byte in parts if not byte)))
-        out = []
-        for parts in cut:
-            if len(parts) == 1 and not parts[0][1]:
-                out.append(solved[parts[0][0]])
-                continue
-            ids, size, score, loss = [], 0, 0.0, np.inf
-            for part, byte in parts:
-                if byte:
-                    some = part.encode()
-                    ids.append(self._packed([self.byte_id[b] for b in some]))
-                    size += len(some)
-                    score += self.byte_score * len(some)
-                else:
-                    got = solved[part]
-                    ids.append(got[0])
-                    size += got[1]
-                    score += got[2]
-                    loss = min(loss, got[3])
-            out.append((b"".join(ids), size, score, loss))
-        return out
+        n, width = points.shape
+        flat = points.ravel().astype(np.uint64) + np.uint64(1)
+        place, h = np.arange(n * width), np.zeros(n * width, dtype=np.uint64)
+        room = np.tile(np.arange(width, 0, -1), n)
+        for l in range(1, min(self.longest, width) + 1):
+            some = room[place] >= l
+            place, h = place[some], h[some]
+            h = h * _BASE + flat[place + l - 1]
+            at = np.searchsorted(self.hashes, h)
+            at[at == len(self.hashes)] = 0
+            alive = self.hashes[at] == h
+            place, h, at = place[alive], h[alive], at[alive]
+            if not len(place):
+                return
+            yield l, place, self.costs[at], self.ids[at]
 
     @staticmethod
-    def _packed(ids) -> bytes:
-        return np.array(ids, dtype=np.uint16).tobytes()
+    def _bytes(points: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes that each character takes."""
+        own = np.where(points >= 0x110000, points - 0x110000, points)
+        return 1 + (own > 0x7F).astype(np.int64) + (own > 0x7FF) + (own > 0xFFFF)
 
     def _edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, id) by length - 1, unit, start; -inf and -1 where there is no piece."""
+        """(cost, id) by length - 1, fragment, start; _NONE and -1 where there is no edge."""
         n, width = points.shape
-        most = min(self.longest, width)
-        score, ids = np.full((most, n, width), -np.inf), np.full((most, n, width), -1, np.int32)
-        h = np.zeros((n, width), dtype=np.uint64)
-        for l in range(most):
-            h = h[:, : width - l] * _BASE + points[:, l:].astype(np.uint64) + np.uint64(1)
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            hit = self.hashes[at] == h
-            score[l, :, : width - l] = np.where(hit, self.scores[at], -np.inf)
-            ids[l, :, : width - l] = np.where(hit, self.ids[at], -1)
+        found = list(self._matches(points))
+        most = max([1, *(l for l, _, _, ids in found if (ids >= 0).any())])
+        cost, ids = np.full((most, n * width), _NONE), np.full((most, n * width), -1, np.int32)
+        for l, place, some, own in found[:most]:
+            cost[l - 1, place], ids[l - 1, place] = some, own
         lone = ids[0] < 0  # a character without a piece: its bytes
-        if lone.any():
-            size = 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
-            score[0] = np.where(lone, self.byte_score * size, score[0])
-        return score, ids
-
-    def _solve(self, fragments: list[str]) -> dict[str, tuple[bytes, int, float, float]]:
-        out = {}
-        by_length: dict[int, list[str]] = {}
-        for f in fragments:
-            by_length.setdefault(len(f), []).append(f)
-        for width, group in by_length.items():
-            step = max(1, CELLS // width)
-            for k in range(0, len(group), step):
-                some = group[k : k + step]
-                points = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), width)
-                score, ids = self._edges(points)
-                best, length = self._forward(score)
-                back = self._backward(score)
-                total = best[:, width]
-                on = np.zeros((len(some), width), dtype=np.int16)  # length of the best path's edge at its start
-                end = np.full(len(some), width)
-                while True:
-                    live = np.flatnonzero(end > 0)
-                    if not len(live):
-                        break
-                    l = length[live, end[live]]
-                    end[live] -= l
-                    on[live, end[live]] = l
-                second = np.full(len(some), -np.inf)
-                for l in range(score.shape[0]):
-                    through = best[:, : width - l] + score[l, :, : width - l] + back[:, l + 1 :]
-                    through = np.where(on[:, : width - l] == l + 1, -np.inf, through)
-                    second = np.maximum(second, through.max(1))
-                rows, at = np.nonzero(on)
-                one = ids[on[rows, at] - 1, rows, at]
-                data, edge = one.astype(np.uint16).tobytes(), np.searchsorted(rows, np.arange(len(some) + 1)).tolist()
-                loose = set(rows[one < 0].tolist())
-                for r, (f, t, x) in enumerate(zip(some, total.tolist(), second.tolist())):
-                    if r in loose:  # some characters are bytes
-                        path = []
-                        for i, k in zip(at[edge[r] : edge[r + 1]].tolist(), one[edge[r] : edge[r + 1]].tolist()):
-                            path += [k] if k >= 0 else [self.byte_id[b] for b in f[i].encode()]
-                        out[f] = (self._packed(path), len(path), t, t - x)
-                    else:
-                        out[f] = (data[2 * edge[r] : 2 * edge[r + 1]], edge[r + 1] - edge[r], t, t - x)
-        return out
-
-    @staticmethod
-    def _forward(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best score from the start to each place, and the length of the last edge."""
-        most, n, width = score.shape
-        best, length = np.full((n, width + 1), -np.inf), np.zeros((n, width + 1), dtype=np.int16)
+        cost[0, lone] = self.byte_cost * self._bytes(points.ravel()[lone])
+        return cost.reshape(most, n, width), ids.reshape(most, n, width)
+
+    def _spelled(self, ids: np.ndarray, points: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids with bytes for each -1, their number for each of n owners)."""
+        times = np.ones(len(ids), dtype=np.int64)
+        lone = np.flatnonzero(ids < 0)
+        if not len(lone):
+            return ids.astype(np.uint16), np.bincount(owner, minlength=n)
+        times[lone] = self._bytes(points[lone])
+        out = np.repeat(ids, times).astype(np.uint16)
+        begin = (np.cumsum(times) - times)[lone]
+        own = points[lone].astype(np.int64)
+        own = np.where(own >= 0x110000, own - 0x110000, own)
+        for k in range(4):
+            some = times[lone] > k
+            left = 6 * (times[lone][some] - 1 - k)
+            byte = own[some] >> left
+            head = np.array([0, 0xC0, 0xE0, 0xF0])[times[lone][some] - 1]
+            byte = head | byte if k == 0 else 0x80 | byte & 63
+            out[begin[some] + k] = self.bytes_ids[byte]
+        return out, np.bincount(owner, weights=times, minlength=n).astype(np.int64)
+
+    def solve(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, their number, cost of the best path, loss of the second-best) of fragments of one length.
+
+        The loss is -_NONE at least where there is one path only.
+        """
+        n, width = points.shape
+        if width > LONG:
+            return self._solve_long(points)
+        cost, ids = self._edges(points)
+        most = len(cost)
+        best, length = np.full((n, width + 1), _NONE), np.zeros((n, width + 1), dtype=np.int16)
         best[:, 0] = 0
         for j in range(1, width + 1):
             for l in range(1, min(most, j) + 1):
-                here = best[:, j - l] + score[l - 1, :, j - l]
+                here = best[:, j - l] + cost[l - 1, :, j - l]
                 better = here > best[:, j]
                 best[better, j] = here[better]
                 length[better, j] = l
-        return best, length
-
-    @staticmethod
-    def _backward(score: np.ndarray) -> np.ndarray:
-        """Best score from each place to the end."""
-        most, n, width = score.shape
-        best = np.full((n, width + 1), -np.inf)
-        best[:, width] = 0
+        back = np.full((n, width + 1), _NONE)
+        back[:, width] = 0
         for i in range(width - 1, -1, -1):
             for l in range(1, min(most, width - i) + 1):
-                best[:, i] = np.maximum(best[:, i], score[l - 1, :, i] + best[:, i + l])
-        return best
-
-    def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best paths of a unit, as (score, ids), best first."""
-        width = len(unit)
-        edges = [[] for _ in range(width + 1)]  # by end: (start, score, ids)
-        forward = [0.0] + [-np.inf] * width
-        for j in range(1, width + 1):
-            for i in range(max(0, j - self.longest), j):
-                piece = unit[i:j]
-                name = piece.replace(" ", SPACE)
-                one = self.ids_by_name.get(name) if SPACE not in piece[1:] and (i == 0 or piece[0] != SPACE) else None
-                if one is not None:
-                    edges[j].append((i, self.score_by_name[name], [one]))
-                elif j - i == 1:
-                    some = [self.byte_id[b] for b in piece.encode()]
-                    edges[j].append((i, self.byte_score * len(some), some))
-            forward[j] = max(forward[i] + s for i, s, _ in edges[j])
-        # equal bounds, up to rounding, go on where the path is longest
-        queue, out, tie = [(round(-forward[width], 9), width, 0, 0.0, None)], [], 0
+                np.maximum(back[:, i], cost[l - 1, :, i] + back[:, i + l], out=back[:, i])
+        on = np.zeros((n, width), dtype=np.int16)  # length of the best path's edge at its start
+        live, end = np.arange(n), np.full(n, width)
+        while len(live):
+            l = length[live, end]
+            end = end - l
+            on[live, end] = l
+            live, end = live[end > 0], end[end > 0]
+        second = np.full(n, 2 * _NONE)
+        for l in range(most):
+            through = best[:, : width - l] + cost[l, :, : width - l] + back[:, l + 1 :]
+            through[on[:, : width - l] == l + 1] = 2 * _NONE
+            np.maximum(second, through.max(1), out=second)
+        rows, at = np.nonzero(on)
+        flat, count = self._spelled(ids[on[rows, at] - 1, rows, at], points[rows, at], rows, n)
+        total = best[:, width]
+        return flat, count, total, np.where(second < _NONE // 2, -_NONE, total - second)
+
+    def _all_edges(self, points: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, cost, id) of every edge of one long fragment, by end, and where each end's begin."""
+        width = len(points)
+        columns = [(place, np.full(len(place), l), cost, ids) for l, place, cost, ids in self._matches(points[None, :])]
+        lone = np.ones(width, dtype=bool)
+        if columns:
+            lone[columns[0][0][columns[0][3] >= 0]] = False
+        lone = np.flatnonzero(lone)
+        columns.append((lone, np.ones(len(lone), np.int64), self.byte_cost * self._bytes(points[lone]), np.full(len(lone), -1, np.int32)))
+        start, length, cost, ids = (np.concatenate(c) for c in zip(*columns))
+        real = cost > _NONE
+        start, length, cost, ids = (c[real] for c in (start, length, cost, ids))
+        order = np.lexsort((length, start + length))
+        start, length, cost, ids = (c[order] for c in (start, length, cost, ids))
+        return start, length, cost, ids, np.searchsorted(start + length, np.arange(width + 2))
+
+    def _solve_long(self, group: np.ndarray):
+        """``solve`` place by place, over the edges that there are."""
+        found = []
+        for points in group:
+            width = len(points)
+            start, length, cost, ids, edge = self._all_edges(points)
+            best, taken = [0] * (width + 1), [0] * (width + 1)
+            step = 1 << 14
+            for a in range(1, width + 1, step):
+                lo, hi = edge[a], edge[min(a + step, width + 1)]
+                some, what, ends = start[lo:hi].tolist(), cost[lo:hi].tolist(), (edge[a : min(a + step, width + 1) + 1] - lo).tolist()
+                for j in range(a, min(a + step, width + 1)):
+                    top, pick = None, 0
+                    for k in range(ends[j - a], ends[j - a + 1]):
+                        here = best[some[k]] + what[k]
+                        if top is None or here > top:
+                            top, pick = here, k
+                    best[j], taken[j] = top, pick + int(lo)
+            order = np.lexsort((length, start))
+            first = np.searchsorted(start[order], np.arange(width + 1))
+            back = [0] * (width + 1)
+            for e in range(width, 0, -step):
+                a = max(0, e - step)
+                lo, hi = first[a], first[e]
+                some = order[lo:hi]
+                stop, what, begins = (start + length)[some].tolist(), cost[some].tolist(), (first[a : e + 1] - lo).tolist()
+                for i in range(e - 1, a - 1, -1):
+                    back[i] = max(what[k] + back[stop[k]] for k in range(begins[i - a], begins[i - a + 1]))
+            path, at = [], width
+            while at:
+                path.append(taken[at])
+                at = int(start[taken[at]])
+            path = np.array(path[::-1])
+            through = np.array(best, dtype=np.int64)[start] + cost + np.array(back, dtype=np.int64)[start + length]
+            off = np.ones(len(start), dtype=bool)
+            off[path] = False
+            flat, count = self._spelled(ids[path], points[start[path]], np.zeros(len(path), np.int64), 1)
+            found.append((flat, int(count[0]), best[width], best[width] - int(through[off].max()) if off.any() else -_NONE))
+        flat, count, total, loss = zip(*found)
+        return np.concatenate(flat), np.array(count), np.array(total), np.array(loss)
+
+    def nbest(self, points: np.ndarray, n: int) -> list[tuple[int, list[int]]]:
+        """The ``n`` best paths of a fragment, as (cost, ids), best first."""
+        width = len(points)
+        if width == 1 and points[0] >= 0x110000:
+            some = chr(points[0] - 0x110000).encode()
+            return [(self.byte_cost * len(some), [self.byte_id[b] for b in some])]
+        text, forward = "".join(map(chr, points.tolist())), [0] * (width + 1)
+        spell = lambda c: [self.byte_id[b] for b in c.encode()]
+        if width <= LONG:
+            edges, get = [[] for _ in range(width + 1)], self.edge_of.get
+            for j in range(1, width + 1):
+                own = edges[j]
+                for i in range(max(0, j - self.longest), j):
+                    if one := get(text[i:j]):
+                        own.append((i, *one))
+                    elif j - i == 1:
+                        own.append((i, self.byte_cost * len(text[i].encode()), -1))
+                forward[j] = max(forward[i] + c for i, c, _ in own)
+            into = edges.__getitem__
+        else:
+            start, length, cost, ids, edge = self._all_edges(points)
+            into = lambda j: zip(*(x[edge[j] : edge[j + 1]].tolist() for x in (start, cost, ids)))
+            for j in range(1, width + 1):
+                forward[j] = max(forward[i] + c for i, c, _ in into(j))
+        # equal bounds go on where the path is longest, so one path is followed to its start
+        queue, out, tie, known = [(-forward[width], width, 0, 0, None)], [], 0, [forward[width]]
         while queue and len(out) < n:
             bound, at, _, done, path = heapq.heappop(queue)
             if not at:
-                ids = []
+                found = []
                 while path:
-                    ids += path[0]
-                    path = path[1]
-                out.append((done, ids))
+                    i, one, path = path
+                    found += [one] if one >= 0 else spell(text[i])
+                out.append((done, found))
                 continue
-            for i, s, some in edges[at]:
+            same = False
+            for i, c, one in into(at):
+                now = -(done + c + forward[i])
+                if now == bound and not same:
+                    same = True  # the path that was known
+                elif len(known) < n:
+                    heapq.heappush(known, -now)
+                elif -now >= known[0]:
+                    heapq.heapreplace(known, -now)
+                else:
+                    continue
                 tie += 1
-                heapq.heappush(queue, (round(-(done + s + forward[i]), 9), i, tie, done + s, (some, path)))
+                heapq.heappush(queue, (now, i, tie, done + c, (i, one, path)))
         return out
 
     def decode(self, ids) -> str:
@@ -251,6 +302,13 @@ class PieceLattice:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes that the pieces stand for, end to end; where each piece's begin, and the end)."""
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.data[np.arange(total) + np.repeat(self.at[ids] - (upto - size), size)], np.concatenate([[0], upto])
+
 
 @lru_cache(maxsize=2)
 def lattice(path: str) -> PieceLattice:
@@ -258,57 +316,165 @@ def lattice(path: str) -> PieceLattice:
 
 
 class Encoder:
-    """Encodes texts with the solutions of units seen before.
+    """Encodes texts with the solutions of fragments seen before.
 
     ``space_runs`` admits the pieces that stand for several spaces; without them each
-    space is the start of a unit of its own, and the best paths are those without runs.
+    space is the start of a fragment of its own, and the best paths are those without runs.
     """
 
     def __init__(self, model: PieceLattice, space_runs: bool = False):
-        self.model, self.split = model, _units if space_runs else lambda t: t.split(" ")
-        self.index: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.paths: dict[tuple[str, int], list] = {}
-        self.facts = np.empty((0, 3))
-
-    def learn(self, units: set[str]) -> None:
-        if len(self.index) > CACHE_UNITS:
-            self.index, self.ids, self.paths, self.facts = {}, [], {}, np.empty((0, 3))
-        new = [u for u in units if u not in self.index]
-        solved = self.model.solve([SPACE + u for u in new])
-        self.index.update((u, len(self.ids) + k) for k, u in enumerate(new))
-        self.ids += [s[0] for s in solved]
-        self.facts = np.concatenate([self.facts, np.array([s[1:] for s in solved]).reshape(-1, 3)])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int, float, list[str], np.ndarray]]:
-        """(packed ids, their number, score, units, where they are kept) of each text; an empty one has none."""
-        split = [self.split(t) if t else [] for t in texts]
-        self.learn({u for units in split for u in units})
-        out = []
-        for units in split:
-            at = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
-            facts = self.facts[at]
-            out.append((b"".join(map(self.ids.__getitem__, at.tolist())), int(facts[:, 0].sum()), float(facts[:, 1].sum()), units, at))
+        self.model, self.space_runs = model, space_runs
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.checks, self.slots = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint16)
+        self.begin, self.size, self.cost, self.loss = (np.empty(0, np.int64) for _ in range(4))
+        self.paths: dict[tuple[int, int], list] = {}
+
+    def fragments(self, at: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first characters of the fragments of texts cut at ``at``, characters as the lattice reads them)."""
+        blank, literal, line = points == 0x20, points == 0x2581, points == 0x0A
+        start = blank.copy()
+        if self.space_runs:
+            start[1:] &= ~blank[:-1]
+        start |= literal | line
+        start[1:] |= (literal | line)[:-1]
+        start[at[at < len(points)]] = True
+        read = points.copy()
+        read[blank], read[literal], read[line] = 0x2581, _LITERAL, _BREAK
+        return np.flatnonzero(start), read
+
+    def _learned(self, start: np.ndarray, end: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Where the solution of each fragment is kept; new ones are solved first."""
+        key, check = (textops.range_hash(textops.running(textops.mix64(points.astype(np.uint64) + np.uint64(k << 32))), start, end) for k in (1, 2))
+        unique, one, back = np.unique(key, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, unique)
+        known = where < len(self.keys)
+        known[known] = self.keys[where[known]] == unique[known]
+        clash = (check[one][back] != check).any() or (self.checks[where[known]] != check[one][known]).any()
+        if clash:  # two fragments under one hash: solve all of these anew, each by itself
+            rows, slots = np.arange(len(start)), len(self.begin) + np.arange(len(start))
+            self._solve(start, end, points, rows)
+            return slots
+        new = np.flatnonzero(~known)
+        if len(new):
+            slots = len(self.begin) + np.arange(len(new))
+            self._solve(start, end, points, one[new])
+            self.keys, self.checks = np.insert(self.keys, where[new], unique[new]), np.insert(self.checks, where[new], check[one][new])
+            self.slots = np.insert(self.slots, where[new], slots)
+            where = np.searchsorted(self.keys, unique)
+        return self.slots[where][back]
+
+    def _solve(self, start: np.ndarray, end: np.ndarray, points: np.ndarray, rows: np.ndarray) -> None:
+        """Appends the solutions of these fragments."""
+        length = (end - start)[rows]
+        begin, size, cost, loss = (np.empty(len(rows), np.int64) for _ in range(4))
+        ids, held = [self.ids], len(self.ids)
+        order = np.argsort(length, kind="stable")
+        edge = np.flatnonzero(np.r_[True, length[order][1:] != length[order][:-1], True])
+        for a, e in zip(edge[:-1], edge[1:]):
+            width = int(length[order[a]])
+            step = max(1, CELLS // width)
+            for k in range(a, e, step):
+                some = order[k : min(k + step, e)]
+                flat, count, total, second = self.model.solve(points[start[rows[some]][:, None] + np.arange(width)])
+                ids.append(flat)
+                begin[some], size[some], cost[some], loss[some] = held + np.cumsum(count) - count, count, total, second
+                held += len(flat)
+        self.ids = np.concatenate(ids)
+        for name, more in (("begin", begin), ("size", size), ("cost", cost), ("loss", loss)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def texts(self, texts: list[str]) -> list[tuple]:
+        """(ids, their number, cost, fragments, where they are kept, round trip) of each text; an empty one has none."""
+        if len(self.keys) > CACHE_FRAGMENTS or len(self.ids) > CACHE_IDS:
+            self._forget()
+        out, some, size = [None] * len(texts), [], 0
+        for k, t in enumerate(texts):
+            if len(t) > 2 * textops.CHUNK_BYTES:
+                out[k] = self._long(t)
+                continue
+            some.append(k)
+            size += len(t)
+            if size > textops.CHUNK_BYTES or k + 1 == len(texts):
+                for i, row in zip(some, self._some([" " + texts[i] if texts[i] else "" for i in some])):
+                    out[i] = row
+                some, size = [], 0
+        if some:
+            for i, row in zip(some, self._some([" " + texts[i] if texts[i] else "" for i in some])):
+                out[i] = row
         return out
 
-    def nbest(self, units: list[str], at: np.ndarray, n: int) -> list[tuple[float, dict[int, list[int]]]]:
-        """The n best segmentations: (loss against the best, ids of the units that deviate)."""
-        loss = self.facts[at, 2]
-        k = min(n - 1, len(units))
-        some = np.lexsort((np.arange(len(loss)), loss))[:k] if len(loss) <= 4 * n else self._least(loss, k)
-        choices = []
+    def _some(self, texts: list[str]) -> list[tuple]:
+        """``texts`` for texts that have the blank before them already."""
+        joined = "".join(texts)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        start, points = self.fragments(at, np.frombuffer(joined.encode("utf-32-le"), np.uint32))
+        end = np.append(start[1:], len(points))
+        slot = self._learned(start, end, points)
+        size = self.size[slot]
+        upto = np.cumsum(size)
+        ids = self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.begin[slot] - (upto - size), size)]
+        edge = np.searchsorted(start, at)
+        place = np.concatenate([[0], upto])[edge]
+        cost = np.concatenate([[0], np.cumsum(self.cost[slot] / UNIT)])
+        spelled, begins = self.model.spelled(ids)
+        got, want, done, rows = spelled.tobytes(), joined.encode(), 0, []
+        begins = begins[place].tolist()
+        wide = len(want) != len(joined)
+        for d, t in enumerate(texts):
+            a, e = edge[d], edge[d + 1]
+            length = len(t.encode()) if wide else len(t)
+            same = got[begins[d] : begins[d + 1]] == want[done : done + length]
+            done += length
+            score = float((self.cost[slot[a:e]] / UNIT).sum()) if e - a < 1 << 16 else float(cost[e] - cost[a])
+            rows.append((ids[place[d] : place[d + 1]], int(place[d + 1] - place[d]), score, (points, start[a:e], end[a:e]), slot[a:e], same))
+        return rows
+
+    def _long(self, text: str) -> tuple:
+        """A long text, part by part; cut before a blank after something else, where a fragment begins."""
+        step, first, parts, lead = textops.CHUNK_BYTES, 0, [], " "
+        while first < len(text):
+            end = first + step
+            while 0 < (end := text.find(" ", end)) < len(text) and text[end - 1] == " ":
+                end += 1
+            end = end if 0 < end else len(text)
+            parts += self._some([lead + text[first:end]])
+            first, lead = end, ""
+        shift = np.cumsum([0, *(len(p[3][0]) for p in parts)])
+        units = (np.concatenate([p[3][0] for p in parts]), *(np.concatenate([p[3][k] + x for p, x in zip(parts, shift)]) for k in (1, 2)))
+        ids, slot = (np.concatenate([p[k] for p in parts]) for k in (0, 4))
+        return ids, len(ids), sum(p[2] for p in parts), units, slot, all(p[5] for p in parts)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, float, tuple, np.ndarray]]:
+        """(packed ids, their number, score, fragments, where they are kept) of each text."""
+        return [(ids.tobytes(), size, score, units, slot) for ids, size, score, units, slot, _ in self.texts(texts)]
+
+    def nbest(self, units: tuple, slot: np.ndarray, n: int) -> list[tuple[float, dict[int, list[int]]]]:
+        """The n best segmentations: (loss against the best, ids of the fragments that deviate)."""
+        loss = self.loss[slot]
+        some = np.flatnonzero(loss < -_NONE)
+        k = min(n - 1, len(some))
+        if len(some) > 4 * n:
+            edge = np.partition(loss[some], k - 1)[k - 1] if k else 0
+            below = some[loss[some] < edge]
+            some = np.r_[below, some[loss[some] == edge][: k - len(below)]]
+        else:
+            some = some[np.argsort(loss[some], kind="stable")[:k]]
+        choices, (points, start, end) = [], units
         for u in some.tolist():
-            key = (units[u], n)
-            if key not in self.paths:
-                if len(self.paths) > CACHE_UNITS:
-                    self.paths.clear()
-                self.paths[key] = self.model.nbest(SPACE + units[u], n)
-            paths = self.paths[key]
-            choices.append((u, [(paths[0][0] - s, ids) for s, ids in paths]))
-        out, queue, seen = [], [(0.0, (0,) * len(choices))], set()
+            key = (int(slot[u]), n)
+            paths = self.paths.get(key)
+            if paths is None:
+                paths = self.model.nbest(points[start[u] : end[u]], n)
+                if end[u] - start[u] <= LONG and len(self.paths) < CACHE_PATHS:
+                    self.paths[key] = paths
+            choices.append((u, [(paths[0][0] - c, ids) for c, ids in paths]))
+        out, queue, seen = [], [(0, (0,) * len(choices))], set()
         while queue and len(out) < n:
             lost, picks = heapq.heappop(queue)
-            out.append((lost, {u: ways[p][1] for (u, ways), p in zip(choices, picks) if p}))
+            out.append((lost / UNIT, {u: ways[p][1] for (u, ways), p in zip(choices, picks) if p}))
             for c, p in enumerate(picks):
                 nxt = (*picks[:c], p + 1, *picks[c + 1 :])
                 if p + 1 < len(choices[c][1]) and nxt not in seen:
@@ -316,12 +482,6 @@ class Encoder:
                     heapq.heappush(queue, (sum(ways[q][0] for (_, ways), q in zip(choices, nxt)), nxt))
         return out
 
-    @staticmethod
-    def _least(loss: np.ndarray, k: int) -> np.ndarray:
-        edge = np.partition(loss, k - 1)[k - 1]
-        below = np.flatnonzero(loss < edge)
-        return np.r_[below, np.flatnonzero(loss == edge)[: k - len(below)]]
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -340,16 +500,13 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
         encoder = _encoders.get(path)
         if encoder is None:
             encoder = _encoders[path] = Encoder(lattice(path), space_runs=True)
-        table = encoder.model.bytes_of
         for b in batches:
             column = b.column("text")
             for i, j in textops.chunks(textops.buffers(column)[0]):
-                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 rows = []
-                for text, (ids, size, score, units, at) in zip(texts, encoder.encode(texts)):
-                    best = encoder.nbest(units, at, n)
-                    data = b"".join(map(table.__getitem__, np.frombuffer(ids, np.uint16).tolist()))
-                    rows.append((ids, size, round(score, 4), [round(x, 4) for x, _ in best], data[1:] == text.encode()))
+                for ids, size, score, units, slot, same in encoder.texts([t or "" for t in column.slice(i, j - i).to_pylist()]):
+                    best = encoder.nbest(units, slot, n)
+                    rows.append((ids.tobytes(), size, round(score, 4), [round(x, 4) for x, _ in best], same))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [

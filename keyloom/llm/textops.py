@@ -109,8 +109,13 @@ def prefix_hash(text: np.ndarray, which: int = 0) -> np.ndarray:
 
     ``which`` of two: their hashes are independent of each other.
     """
-    out = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[which][text] * _power(_B, len(text)), out=out[1:])
+    return running(_BYTE[which][text])
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """``prefix_hash`` of any sequence of 64-bit values."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_B, len(values)), out=out[1:])
     return out
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -225,6 +226,42 @@ def test_n_best_segmentations_with_runs_of_spaces():
     assert np.frombuffer(row[0], np.uint16).tolist() in (sp.encode("a   b"), [names["▁a"], names["▁▁"], names["▁b"]])
 
 
+def test_long_fragments_against_short_ones(monkeypatch):
+    """Solved place by place or as arrays, a fragment has the same paths."""
+    model, rng = piece_lattice.lattice(tokenizer_file("piece_bpe_32k.model")), random.Random(5)
+    texts = ["".join(rng.choice(["the", "ing", "qz", "é", "字", "a", "a"]) for _ in range(12)) for _ in range(30)] + ["a" * 60]
+    one, two = (piece_lattice.Encoder(model, space_runs=True) for _ in range(2))
+    facts = lambda e: [(ids, size, score, [x for x, _ in e.nbest(units, at, 5)]) for ids, size, score, units, at in e.encode(texts)]
+    want = facts(one)
+    monkeypatch.setattr(piece_lattice, "LONG", 3)
+    got = facts(two)
+    for x, y in zip(got, want):
+        assert x[1:] == y[1:] and model.decode(np.frombuffer(x[0], np.uint16).tolist()) == model.decode(np.frombuffer(y[0], np.uint16).tolist())
+
+
+def test_a_word_of_a_million_characters():
+    model, rng = piece_lattice.lattice(tokenizer_file("piece_bpe_32k.model")), random.Random(7)
+    for text in ("x" * 1_000_000, "".join(rng.choices("abcdefghijklmnop", k=1_000_000))):
+        began = time.process_time()
+        encoder = piece_lattice.Encoder(model, space_runs=True)
+        ((ids, size, _, units, at),) = encoder.encode([text])
+        assert len(encoder.nbest(units, at, 4)) == 4
+        assert time.process_time() - began < 60
+        assert model.decode(np.frombuffer(ids, np.uint16).tolist()) == text
+
+
+def test_long_texts_part_by_part(monkeypatch):
+    model, rng = piece_lattice.lattice(tokenizer_file("piece_bpe_32k.model")), random.Random(8)
+    text = "".join(rng.choice(["the ", "ing", "  ", "\n", "é ", "▁"]) for _ in range(3000))
+    whole = piece_lattice.Encoder(model, space_runs=True).texts([text, "", "a b"])
+    monkeypatch.setattr(piece_lattice.textops, "CHUNK_BYTES", 100)
+    encoder = piece_lattice.Encoder(model, space_runs=True)
+    parts = encoder.texts([text, "", "a b"])
+    for a, b in zip(whole, parts):
+        assert a[0].tolist() == b[0].tolist() and a[1] == b[1] and a[2] == pytest.approx(b[2]) and a[5] and b[5]
+    assert len(encoder.nbest(parts[0][3], parts[0][4], 4)) == 4
+
+
 def test_pieces_round_trip(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     for df in (edge(spark, [*ODD, (9, "▁ \n é" * 50, "z"), (10, "x" * 30_000, "z")]), read_documents(spark, SMALL), edge(spark, [])):
