@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(folder)
+    return folder
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end, the shared folders that operators made inside: their results must be written by then."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for folder in made:
+            forget(spark, folder)
 
 
 def materialise(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:

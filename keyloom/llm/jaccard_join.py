@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components as star_components
 from . import textops
-from .common import materialise, shared_dir
+from .common import forget, materialise, shared_dir
 from .textops import mix64
 
 #: A shingle in more sets than this is frequent; a list with more members is long.
@@ -630,6 +630,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_bits: int = 64) -> tup
             if not more.isEmpty():
                 links = links.unionByName(more)
                 roots = components(spark, links, folder, "second")
+    for name in ("found", "entries", "central", "pairs", "blocks"):  # what comes back doesn't read these
+        forget(spark, f"{folder}/{name}")
     classes = owners.select("sid", "smallest").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
     classes = classes.withColumn("root", F.coalesce("root", "sid"))
     smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))

@@ -162,11 +162,42 @@ def test_exact_dedup_repeats_and_empty(spark):
     assert exact.exact_dedup(spark, edge(spark, [])).isEmpty()
 
 
-def test_exact_dedup_compares_bytes_under_one_digest(spark, monkeypatch):
-    def weak(docs):
-        text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-        return docs.withColumn("_norm", text).withColumn("_digest", F.encode(F.substring(text, 1, 1), "utf-8"))
+def test_exact_dedup_of_some_files_of_a_folder(spark, tmp_path):
+    for k in range(3):
+        edge(spark, [(k, "same"), (k + 10, f"own {k}")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    files = sorted(str(f) for f in (tmp_path / "docs").glob("*.parquet"))
+    for some in (files[:1], files[:2], files):
+        df = spark.read.parquet(*some)
+        got = {r.doc_id: r.group_size for r in exact.exact_dedup(spark, df).collect()}
+        assert got == {r.doc_id: len(some) if r.text == "same" else 1 for r in df.collect()}
+
+
+def test_exact_dedup_keeps_its_state_between_arrivals(spark, tmp_path):
+    arrivals = [[(5, "A b"), (2, "other"), (9, None)], [(7, "a B"), (1, "new")], [], [(3, "a b"), (8, "NEW"), (4, "")]]
+    seen = []
+    for rows in arrivals:
+        seen += [(i, (t or "").lower()) for i, t in rows]
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(t, []).append(i)
+        got = exact.exact_dedup(spark, edge(spark, rows), folder=f"file://{tmp_path}/store").collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in seen)
+
+
+def test_exact_dedup_compares_bytes_with_earlier_arrivals(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "normalised", weak)
+    for rows in ([(1, "ab"), (2, "x")], [(3, "ac")], [(4, "ab")]):
+        got = exact.exact_dedup(spark, edge(spark, rows), folder=f"file://{tmp_path}/store").collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (4, 2), 2: (2, 1), 3: (3, 1), 4: (4, 2)}
+
+
+def weak(docs):
+    """A digest of the first character alone."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("_norm", text).withColumn("_digest", F.encode(F.substring(text, 1, 1), "utf-8"))
 
+
+def test_exact_dedup_compares_bytes_under_one_digest(spark, monkeypatch):
     monkeypatch.setattr(exact, "normalised", weak)
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(spark, edge(spark, [(1, "ab"), (2, "AB"), (3, "ac"), (4, "b")])).collect()}
     assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
