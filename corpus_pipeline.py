@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ascii_lower, materialise, shared_dir
+from keyloom.llm.common import ascii_lower, forget, materialise, scratch, shared_dir
 from keyloom.llm.exact_dedup import exact_dedup
 from keyloom.llm.jaccard_join import jaccard_join
 from keyloom.llm.langid import language
@@ -99,7 +99,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the last one's rows."""
     folder = shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(spark, stage(spark, docs, sf_dir), folder, name)
+        with scratch(spark):
+            docs = materialise(spark, stage(spark, docs, sf_dir), folder, name)
+        if before:
+            forget(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
