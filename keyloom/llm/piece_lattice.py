@@ -34,9 +34,11 @@ from . import textops
 
 SPACE = "▁"
 #: Cells of one array pass; a longer fragment is solved by itself.
-CELLS, LONG = 1 << 17, 256
+CELLS, LONG = 1 << 16, 256
+#: Characters of text looked at in one go.
+PART_CHARS = 1 << 19
 #: Fragments, and their ids, that a worker keeps; fragments whose N best it keeps.
-CACHE_FRAGMENTS, CACHE_IDS, CACHE_PATHS = 1_000_000, 1 << 23, 200_000
+CACHE_FRAGMENTS, CACHE_IDS, CACHE_PATHS = 700_000, 1 << 22, 20_000
 #: One nat in scores.
 UNIT = 1 << 36
 _NONE = -(1 << 62)
@@ -392,12 +394,12 @@ class Encoder:
             self._forget()
         out, some, size = [None] * len(texts), [], 0
         for k, t in enumerate(texts):
-            if len(t) > 2 * textops.CHUNK_BYTES:
+            if len(t) > 2 * PART_CHARS:
                 out[k] = self._long(t)
                 continue
             some.append(k)
             size += len(t)
-            if size > textops.CHUNK_BYTES or k + 1 == len(texts):
+            if size > PART_CHARS or k + 1 == len(texts):
                 for i, row in zip(some, self._some([" " + texts[i] if texts[i] else "" for i in some])):
                     out[i] = row
                 some, size = [], 0
@@ -434,7 +436,7 @@ class Encoder:
 
     def _long(self, text: str) -> tuple:
         """A long text, part by part; cut before a blank after something else, where a fragment begins."""
-        step, first, parts, lead = textops.CHUNK_BYTES, 0, [], " "
+        step, first, parts, lead = PART_CHARS, 0, [], " "
         while first < len(text):
             end = first + step
             while 0 < (end := text.find(" ", end)) < len(text) and text[end - 1] == " ":

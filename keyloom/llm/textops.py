@@ -33,7 +33,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _powers[int(base)] = have
     return have[:n]
 

@@ -254,7 +254,7 @@ def test_long_texts_part_by_part(monkeypatch):
     model, rng = piece_lattice.lattice(tokenizer_file("piece_bpe_32k.model")), random.Random(8)
     text = "".join(rng.choice(["the ", "ing", "  ", "\n", "é ", "▁"]) for _ in range(3000))
     whole = piece_lattice.Encoder(model, space_runs=True).texts([text, "", "a b"])
-    monkeypatch.setattr(piece_lattice.textops, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(piece_lattice, "PART_CHARS", 100)
     encoder = piece_lattice.Encoder(model, space_runs=True)
     parts = encoder.texts([text, "", "a b"])
     for a, b in zip(whole, parts):
