@@ -70,13 +70,12 @@ def histogram_bucket(v) -> Column:
     """Index of the log-linear bucket: exact below 256, then 128 steps an octave."""
     x = _col(v)
     msb = F.length(F.bin(x)) - 1
-    sub = F.expr(f"shiftright(v, length(bin(v)) - 8)") if isinstance(v, str) and v == "v" else None
-    sub = sub if sub is not None else F.floor(x / F.pow(F.lit(2.0), msb - 7)).cast("bigint")
+    sub = F.call_function("shiftright", x.cast("bigint"), msb - 7)
     return F.when(x < 256, x).otherwise(256 + (msb - 8) * 128 + sub.bitwiseAND(127)).cast("bigint")
 
 
 def bucket_floor(index) -> Column:
     """Smallest value of a bucket."""
     i = _col(index)
-    shift = F.floor((i - 256) / 128) + 1
-    return F.when(i < 256, i).otherwise((128 + (i - 256) % 128) * F.pow(F.lit(2.0), shift)).cast("bigint")
+    shift = F.call_function("shiftright", i - 256, F.lit(7)).cast("int") + 1
+    return F.when(i < 256, i).otherwise(F.call_function("shiftleft", (128 + (i - 256) % 128).cast("bigint"), shift)).cast("bigint")

@@ -9,6 +9,7 @@ Level 0 holds overlapping runs, newer ones in front; deeper levels don't overlap
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -43,6 +44,7 @@ class RunFile:
 class Manifest:
     next_number: int = 1
     last_lsn: int = 0
+    last_batch: int = -1
     files: list[RunFile] = field(default_factory=list)
 
     def level(self, n: int) -> list[RunFile]:
@@ -94,26 +96,36 @@ class Store:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[str]:
+        path = self._fs_path(self.folder)
+        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
+
+    def _manifests(self) -> list[int]:
+        """Numbers of the manifests there are, the newest last."""
+        return sorted(int(n.removeprefix("MANIFEST-")) for n in self._names() if re.fullmatch("MANIFEST-[0-9]+", n))
+
     def manifest(self) -> Manifest:
-        path = self._fs_path(f"{self.folder}/MANIFEST")
-        if not self.fs.exists(path):
+        there = self._manifests()
+        if not there:
             return Manifest()
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/MANIFEST", wholetext=True).collect())
+        text = self.spark.read.text(f"{self.folder}/MANIFEST-{there[-1]}", wholetext=True).first()[0]
         raw = json.loads(text)
-        return Manifest(raw["next_number"], raw["last_lsn"], [RunFile(**f) for f in raw["files"]])
+        return Manifest(**raw | {"files": [RunFile(**f) for f in raw["files"]]})
 
     def install(self, manifest: Manifest) -> None:
-        """Replace the manifest in one step."""
+        """Make this the store's manifest in one step: a whole file gets the next number by a rename.
+
+        Readers take the highest number, so a crash leaves the old manifest or the new one.
+        Older ones stay until ``sweep``.
+        """
         manifest.validate()
-        part = f"{self.folder}/MANIFEST-{uuid.uuid4().hex}"
+        part = f"{self.folder}/part-{uuid.uuid4().hex}"
         out = self.fs.create(self._fs_path(part))
-        out.write(bytearray(json.dumps({"next_number": manifest.next_number, "last_lsn": manifest.last_lsn, "files": [asdict(f) for f in manifest.files]}).encode()))
+        out.write(bytearray(json.dumps(asdict(manifest)).encode()))
         out.close()
-        target = self._fs_path(f"{self.folder}/MANIFEST")
-        if self.fs.exists(target):
-            self.fs.delete(target, False)
-        if not self.fs.rename(self._fs_path(part), target):
-            raise OSError("the manifest could not be replaced")
+        target = self._fs_path(f"{self.folder}/MANIFEST-{max(self._manifests(), default=0) + 1}")
+        if self.fs.exists(target) or not self.fs.rename(self._fs_path(part), target):
+            raise OSError("another writer installed a manifest meanwhile")
 
     def write_run(self, rows: DataFrame, level: int, manifest: Manifest) -> list[RunFile]:
         """Range-partitioned sorted files of about ``file_bytes`` each, with their facts."""
@@ -147,12 +159,13 @@ class Store:
         manifest.next_number = number + len(found)
         return found
 
-    def flush(self, delta: DataFrame, lsn: int) -> None:
-        """Write one sorted run of the newest mutations as a level-0 run."""
+    def flush(self, delta: DataFrame, lsn: int, batch: int | None = None) -> None:
+        """Write one sorted run of the newest mutations as a level-0 run; ``batch`` numbers it for ``ingest``."""
         manifest = self.manifest()
         rows = delta.select("key", "is_delete", "value", "expire_at")
         manifest.files += self.write_run(rows, 0, manifest)
         manifest.last_lsn = max(manifest.last_lsn, lsn)
+        manifest.last_batch = manifest.last_batch if batch is None else batch
         self.install(manifest)
 
     def read(self, manifest: Manifest | None = None, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -163,10 +176,7 @@ class Store:
         if not wanted:
             return self.spark.createDataFrame([], RUN + ", rk bigint")
         # newest level-0 file first, then deeper levels; one scan with a rank by file
-        ranks = {}
-        for n in sorted({f.level for f in wanted}):
-            for f in (g for g in manifest.level(n) if g in wanted):
-                ranks[f.path] = (n, -f.number if n == 0 else 0)
+        ranks = {f.path: (f.level, -f.number if f.level == 0 else 0) for f in wanted}
         order = {v: k for k, v in enumerate(sorted(set(ranks.values())))}
         table = self.spark.createDataFrame([(p, order[v]) for p, v in ranks.items()], "p string, rk bigint")
         rows = self.spark.read.schema(RUN).parquet(*ranks).withColumn("p", F.col("_metadata.file_path"))
@@ -202,7 +212,9 @@ class Store:
         level = max(scores, key=lambda n: (scores[n], -n))
         if scores[level] < 1 or (level and scores[level] <= 1):
             return None
-        inputs = manifest.level(level) if level == 0 else manifest.level(level)[:1]
+        inputs = manifest.level(level)
+        if level:  # round robin: the oldest file of the level goes first
+            inputs = [min(inputs, key=lambda f: f.number)]
         lo, hi = min(f.min_key for f in inputs), max(f.max_key for f in inputs)
         return level, inputs, [f for f in manifest.level(level + 1) if f.min_key <= hi and lo <= f.max_key]
 
@@ -213,7 +225,7 @@ class Store:
         if due is None:
             return False
         level, inputs, below = due
-        part = Manifest(manifest.next_number, manifest.last_lsn, inputs + below)
+        part = Manifest(manifest.next_number, manifest.last_lsn, files=inputs + below)
         deeper = [(bytes.fromhex(f.min_key), bytes.fromhex(f.max_key)) for f in manifest.files if f.level > level + 1]
         ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary")
         rows = compact(self.read(part), ranges, now).select("key", "is_delete", "value", "expire_at")
@@ -226,11 +238,10 @@ class Store:
     def sweep(self) -> list[str]:
         """Delete runs that the manifest no longer names; call when no reader is left."""
         named = {f.path.rpartition("/")[0].rpartition("/")[2] for f in self.manifest().files}
-        gone = []
-        for status in self.fs.listStatus(self._fs_path(self.folder)):
-            name = status.getPath().getName()
-            if (name.startswith("run-") and name not in named) or name.startswith("MANIFEST-"):
-                self.fs.delete(status.getPath(), True)
+        last, gone = f"MANIFEST-{max(self._manifests(), default=0)}", []
+        for name in self._names():
+            if (name.startswith("run-") and name not in named) or (name.startswith(("MANIFEST-", "part-")) and name != last):
+                self.fs.delete(self._fs_path(f"{self.folder}/{name}"), True)
                 gone.append(name)
         return gone
 

@@ -70,20 +70,23 @@ def delete_all(ks: DataFrame, asked: DataFrame, now: int) -> tuple[DataFrame, Da
 def append_all(ks: DataFrame, batch: DataFrame, now: int) -> DataFrame:
     """key, value, expire_at, n: suffixes (key, suffix) put behind the values."""
     m = _matched(ks, batch, now)
-    value = F.concat(F.coalesce(F.col("k_value"), F.lit("")), F.coalesce(F.col("suffix"), F.lit("")))
+    kind = ks.schema["value"].dataType
+    value = F.concat(F.coalesce(F.col("k_value"), F.lit("").cast(kind)), F.coalesce(F.col("suffix").cast(kind), F.lit("").cast(kind)))
     return m.select("key", value.alias("value"), F.coalesce("k_expire_at", F.lit(0)).cast("bigint").alias("expire_at"), F.octet_length(value).cast("bigint").alias("n"))
 
 
 def incr_by(ks: DataFrame, batch: DataFrame, now: int) -> DataFrame:
-    """key, value, status: batch (key, delta) added; status is ok, not_integer or overflow.
+    """key, value, expire_at, status: batch (key, delta) added; status is ok, not_integer or overflow.
 
-    A missing key counts as 0; on an error the value stays.
+    A missing key counts as 0; on an error the value stays.  Keys that the batch doesn't
+    name stay as they are, with a null status; all keep their expiry.
     """
-    m = _matched(ks, batch, now).where("_in")
-    old = F.when(F.col("k_value").isNull(), F.lit(0)).otherwise(exprs.strict_int("k_value"))
-    new = F.try_add(old, F.col("delta"))
-    status = F.when(old.isNull(), "not_integer").when(new.isNull(), "overflow").otherwise("ok")
-    return m.select("key", F.coalesce(new.cast("string"), F.col("k_value")).alias("value"), status.alias("status"))
+    m = _matched(ks, batch, now)
+    old = F.when(F.col("k_value").isNull(), F.lit(0)).otherwise(exprs.strict_int(F.col("k_value").cast("string")))
+    new = F.when(F.col("_in"), F.try_add(old, F.col("delta")))
+    status = F.when(F.col("_in").isNull(), F.lit(None)).when(old.isNull(), "not_integer").when(new.isNull(), "overflow").otherwise("ok")
+    value = F.coalesce(new.cast("string").cast(ks.schema["value"].dataType), F.col("k_value"))
+    return m.select("key", value.alias("value"), F.coalesce("k_expire_at", F.lit(0)).cast("bigint").alias("expire_at"), status.alias("status"))
 
 
 def set_range(ks: DataFrame, offset: int, patch: bytes, now: int) -> DataFrame:

@@ -44,10 +44,18 @@ def recover(image: DataFrame, lsn: int, log: DataFrame) -> DataFrame:
 
 
 def history(log: DataFrame) -> DataFrame:
-    """key, op, value, expire_at, valid_from, valid_to: a read at s sees valid_from < s <= valid_to."""
+    """key, op, value, expire_at, valid_from, valid_to: a read at s sees valid_from < s <= valid_to.
+
+    A record ends with the next one of its key or with the next flush, whichever comes
+    first.  Flushes are an operator's commands, few against the log: one row holds them
+    in order and every task searches it.
+    """
     w = Window.partitionBy("key").orderBy("lsn", "pos")
     rows = log.where("op <> 'flushall'").withColumn("_next", F.lead("lsn").over(w))
-    return rows.select("key", "op", "value", "expire_at", F.col("lsn").alias("valid_from"), F.col("_next").alias("valid_to"))
+    flushes = log.where("op = 'flushall'").agg(F.sort_array(F.collect_list(F.struct("lsn", "pos"))).alias("_flushes"))
+    later = F.filter("_flushes", lambda f: f > F.struct(F.col("lsn"), F.col("pos")))
+    rows = rows.join(F.broadcast(flushes)).withColumn("_flush", F.get(later, F.lit(0))["lsn"])
+    return rows.select("key", "op", "value", "expire_at", F.col("lsn").alias("valid_from"), F.least("_next", "_flush").alias("valid_to"))
 
 
 def dbsize_asof(log: DataFrame, lsns: list[int], now: int) -> DataFrame:

@@ -289,7 +289,50 @@ def append_fold(cmds):
 def incr_fold(cmds):
     delta = cmds.where("name = 'incr'").groupBy("key").agg(F.count(F.lit(1)).alias("delta"))
     empty = delta.select("key", F.lit("").alias("value"), F.lit(0).cast("bigint").alias("expire_at")).where("false")
-    return write.incr_by(empty, delta, NOW)
+    return write.incr_by(empty, delta, NOW).select("key", "value", "status")
+
+
+@query(
+    "kv_counters",
+    sql="""SELECT key, CASE WHEN k % 3 <> 0 OR try_cast(value AS BIGINT) IS NULL THEN value ELSE CAST(CAST(value AS BIGINT) + 7 AS VARCHAR) END AS value, expire_at,
+    CASE WHEN k % 3 = 0 THEN CASE WHEN try_cast(value AS BIGINT) IS NULL THEN 'not_integer' ELSE 'ok' END END AS status
+    FROM (SELECT *, CAST(substr(key, 6) AS BIGINT) AS k FROM kv_counters)
+    UNION ALL SELECT replace(key, 'part', 'new'), '7', 0, 'ok' FROM kv_counters WHERE CAST(substr(key, 6) AS BIGINT) % 50 = 0""",
+)
+def incr_binary_with_expiry(counters):
+    """Counters in the canonical binary schema: some named, some not, some missing, some no numbers."""
+    ks = counters.select("key", F.col("value").cast("binary").alias("value"), "expire_at")
+    number = F.substring("key", 6, 20).cast("bigint")
+    named = ks.where(number % 3 == 0).select("key")
+    missing = ks.where(number % 50 == 0).select(F.replace("key", F.lit("part"), F.lit("new")).alias("key"))
+    done = write.incr_by(ks, named.unionByName(missing).withColumn("delta", F.lit(7).cast("bigint")), NOW)
+    return done.select("key", F.col("value").cast("string").alias("value"), "expire_at", "status")
+
+
+_FLUSHES = "(SELECT lsn FROM kv_log WHERE lsn % 300 = 0)"
+_CLOSED = f"""SELECT key, op, expire_at, lsn AS valid_from,
+    least(lead(lsn) OVER (PARTITION BY key ORDER BY lsn, pos), (SELECT min(f.lsn) FROM {_FLUSHES} f WHERE f.lsn > l.lsn)) AS valid_to
+    FROM kv_log l WHERE lsn % 300 <> 0"""
+
+
+def _flushed(rows):
+    """The log with every 300th record a flush."""
+    flush = rows.where("lsn % 300 = 0").withColumn("op", F.lit("flushall"))
+    return rows.where("lsn % 300 <> 0").unionByName(flush)
+
+
+@query("kv_log", sql=f"SELECT key, op, valid_from, valid_to FROM ({_CLOSED})")
+def history_across_flushes(rows):
+    return log.history(_flushed(rows)).select("key", "op", "valid_from", "valid_to")
+
+
+@query(
+    "kv_log",
+    sql=f"""SELECT a.lsn, count(h.key) AS n FROM (VALUES (CAST(299 AS BIGINT)), (300), (450), (600), (899)) a(lsn)
+    LEFT JOIN ({_CLOSED}) h ON h.op = 'put' AND {LIVE} AND h.valid_from <= a.lsn AND (h.valid_to IS NULL OR h.valid_to > a.lsn) GROUP BY a.lsn""",
+)
+def dbsize_across_flushes(rows):
+    return log.dbsize_asof(_flushed(rows), [299, 300, 450, 600, 899], NOW)
 
 
 @query(
@@ -298,7 +341,7 @@ def incr_fold(cmds):
     CASE WHEN n <= 0 THEN CAST(n + 9223372036854775807 AS VARCHAR) ELSE value END AS value FROM (SELECT key, value, {_INT} AS n FROM kv_numeric)""",
 )
 def incrby_overflow_flag(ks):
-    return write.incr_by(ks, ks.select("key", F.lit((1 << 63) - 1).alias("delta")), NOW)
+    return write.incr_by(ks, ks.select("key", F.lit((1 << 63) - 1).alias("delta")), NOW).select("key", "value", "status")
 
 
 def _expire(name, mode, may):

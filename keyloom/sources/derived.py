@@ -25,6 +25,10 @@ _SQL = {
                                WHEN 2 THEN concat('+', p_size) WHEN 3 THEN p_name ELSE CAST(p_size AS STRING) END AS value,
                CAST(0 AS BIGINT) AS expire_at
         FROM part""",
+    "kv_counters": """
+        SELECT concat('part:', p_partkey) AS key, CASE WHEN p_size % 5 = 3 THEN p_name ELSE CAST(p_size AS STRING) END AS value,
+               CAST(CASE WHEN p_size % 4 = 0 THEN 1806659200000 ELSE 0 END AS BIGINT) AS expire_at
+        FROM part""",
     "lsm_runs": """
         SELECT rk, lpad(CAST(o_orderkey AS STRING), 8, '0') AS key, (rk = 1 AND o_orderkey % 5 = 0) AS is_delete,
                concat('r', rk, ':', o_orderstatus) AS value
@@ -39,7 +43,7 @@ _SQL = {
                CASE event_type WHEN 'purchase' THEN '1' WHEN 'signup' THEN '100' END AS arg
         FROM events""",
 }
-_TABLES = {"kv_log": "events", "kv_orders": "orders", "kv_docs": "documents", "kv_numeric": "part", "lsm_runs": "orders", "samples": "lineitem", "cmd_log": "events"}
+_TABLES = {"kv_log": "events", "kv_orders": "orders", "kv_docs": "documents", "kv_numeric": "part", "kv_counters": "part", "lsm_runs": "orders", "samples": "lineitem", "cmd_log": "events"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

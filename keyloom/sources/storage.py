@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,38 @@ def read_log(spark: SparkSession, folder: str, after: int = 0) -> DataFrame:
     return spark.read.schema(LOG).parquet(folder).where(F.col("lsn") > after)
 
 
+def _images(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the whole images in a folder, the newest last; those being written begin with ``part-``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n for n in names if n.startswith("image-"))
+
+
 def write_snapshot(ks: DataFrame, folder: str, lsn: int, created_at_ms: int) -> None:
-    """The image first, then its facts: a folder without facts is no snapshot."""
-    ks.select("key", "value", "expire_at").write.mode("overwrite").parquet(f"{folder}/data")
+    """Image and facts in a folder of their own, which gets its name when both are complete; older ones go after that."""
     spark = ks.sparkSession
-    keys = spark.read.parquet(f"{folder}/data").count()
+    before = _images(spark, folder)
+    part = f"{folder}/part-{uuid.uuid4().hex}"
+    ks.select("key", "value", "expire_at").write.parquet(f"{part}/data")
+    keys = spark.read.parquet(f"{part}/data").count()
     facts = json.dumps({"lsn": lsn, "created_at_ms": created_at_ms, "keys": keys})
-    spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
+    spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{part}/meta")
+    number = int(before[-1].partition("-")[2]) + 1 if before else 1
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.rename(path(part), path(f"{folder}/image-{number:012d}")):
+        raise OSError("the snapshot could not be put in place")
+    for name in before:
+        fs.delete(path(f"{folder}/{name}"), True)
 
 
 def read_snapshot(spark: SparkSession, folder: str, verify: bool = True) -> tuple[DataFrame, dict]:
-    """(image, facts); refuses an image with another number of keys than its facts say."""
+    """(image, facts) of the newest snapshot; refuses an image with another number of keys than its facts say."""
+    there = _images(spark, folder)
+    if not there:
+        raise FileNotFoundError(f"no snapshot in {folder}")
+    folder = f"{folder}/{there[-1]}"
     facts = json.loads(spark.read.text(f"{folder}/meta").first()[0])
     image = spark.read.schema(KS).parquet(f"{folder}/data")
     if verify and (n := image.count()) != facts["keys"]:

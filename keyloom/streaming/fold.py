@@ -57,12 +57,14 @@ def fold_stream(cmds: DataFrame) -> DataFrame:
 def ingest(log: DataFrame, store: Store, checkpoint: str, compact_at: int | None = None):
     """Write every micro-batch of a log stream as a sorted run, then compact what is due.
 
-    A batch that runs again after a failure is recognised by its last lsn.
+    A batch that runs again after a failure is recognised by its number, which the
+    manifest keeps.  Batches count in the order of their arrival, so records that come
+    late are written too, and within a batch by lsn.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         last = rows.agg(F.max("lsn")).first()[0]
-        if last is None or last <= store.manifest().last_lsn:
+        if last is None or number <= store.manifest().last_batch:
             return
         if rows.where("op = 'flushall'").limit(1).count():
             store.flush_all(store.manifest().last_lsn)
@@ -72,7 +74,7 @@ def ingest(log: DataFrame, store: Store, checkpoint: str, compact_at: int | None
             "value",
             F.coalesce("expire_at", F.lit(0)).alias("expire_at"),
         )
-        store.flush(folded, last)
+        store.flush(folded, last, number)
         if compact_at is not None:
             while store.compact_once(compact_at):
                 pass

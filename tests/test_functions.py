@@ -59,7 +59,7 @@ def test_saturating_sum_and_ttl(spark):
 
 
 def test_histogram_matches_plain_sum(spark):
-    values = [0, 1, 255, 256, 257, 1000, 5000, 123456, 1 << 40]
+    values = [0, 1, 255, 256, 257, 1000, 5000, 123456, 1 << 40, (1 << 55) - 1, (1 << 53) + 1, (1 << 63) - 1]
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
 
     def bucket(v):
@@ -70,4 +70,8 @@ def test_histogram_matches_plain_sum(spark):
 
     got = {r.v: r.b for r in df.select("v", exprs.histogram_bucket("v").alias("b")).collect()}
     assert got == {v: bucket(v) for v in values}
+    assert {r.bucket for r in stats.histogram(df).collect()} == {bucket(v) for v in values}
+    index = spark.createDataFrame([(i,) for i in {bucket(v) for v in values}], "i bigint")
+    floors = {r.i: r.f for r in index.select("i", exprs.bucket_floor("i").alias("f")).collect()}
+    assert all(floors[bucket(v)] <= v and bucket(floors[bucket(v)]) == bucket(v) for v in values)
     assert stats.summary(df).first().n == len(values)

@@ -24,11 +24,12 @@ def test_replay_flush_and_batches(spark):
 
 
 def test_snapshot_and_log_files(spark, tmp_path):
-    ks = spark.createDataFrame([(b"alpha", b"one", 0), (b"empty", b"", 0), (b"bin", b"\0\xff\r\n", 5)], "key binary, value binary, expire_at bigint")
+    ks = spark.createDataFrame([(b"river", b"long", 0), (b"nothing", b"", 7), (b"\x01raw\xfe", bytes(range(256)), -4)], "key binary, value binary, expire_at bigint")
     storage.write_snapshot(ks, f"file://{tmp_path}/s", 9, NOW)
     image, facts = storage.read_snapshot(spark, f"file://{tmp_path}/s")
     assert facts["lsn"] == 9 and sorted(map(tuple, image.collect())) == sorted(map(tuple, ks.collect()))
-    image.limit(1).write.mode("append").parquet(f"file://{tmp_path}/s/data")
+    (folder,) = (tmp_path / "s").glob("image-*")
+    image.limit(1).write.mode("append").parquet(f"file://{folder}/data")
     with pytest.raises(ValueError):
         storage.read_snapshot(spark, f"file://{tmp_path}/s")
 
@@ -92,6 +93,41 @@ def test_ingest_into_runs(spark, tmp_path):
     assert sorted(map(tuple, store.keyspace().collect())) == sorted(map(tuple, log.replay(rows).collect()))
 
 
+def test_ingest_of_late_records(spark, tmp_path):
+    """A second batch whose records have lower numbers than the first."""
+    schema = "lsn bigint, pos int, op string, key binary, value binary, expire_at bigint"
+    store = lsm.Store(spark, f"file://{tmp_path}/store")
+    for rows in ([(10, 0, "put", b"a", b"1", 0)], [(4, 0, "put", b"late", b"2", 0), (5, 0, "put", b"late", b"3", 0)]):
+        storage.append_log(spark.createDataFrame(rows, schema), f"file://{tmp_path}/log")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+        fold.ingest(stream, store, f"{tmp_path}/ck", NOW).awaitTermination()
+    assert sorted((bytes(r.key), bytes(r.value)) for r in store.keyspace().collect()) == [(b"a", b"1"), (b"late", b"3")]
+
+
+def test_manifests_are_replaced_whole(spark, tmp_path):
+    store = lsm.Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([(b"a", False, b"1", 0)], lsm.RUN)
+    for n in range(3):
+        store.flush(rows, n)
+    (tmp_path / "store" / "part-torn").write_text("{")
+    assert store._manifests() == [1, 2, 3] and len(store.manifest().files) == 3
+    gone = store.sweep()
+    assert "part-torn" in gone and store._manifests() == [3] and store.manifest().last_lsn == 2
+    with pytest.raises(ValueError):
+        store.install(lsm.Manifest(files=[lsm.RunFile(1, n, "x", 1, 1, "00", "ff") for n in (1, 2)]))
+    assert len(store.manifest().files) == 3
+
+
+def test_snapshot_survives_a_broken_one(spark, tmp_path):
+    ks = spark.createDataFrame([(b"k1", b"v", 0), (b"", b"", 9)], "key binary, value binary, expire_at bigint")
+    storage.write_snapshot(ks, f"file://{tmp_path}/s", 3, NOW)
+    (tmp_path / "s" / "part-broken").mkdir()
+    assert storage.read_snapshot(spark, f"file://{tmp_path}/s")[1]["lsn"] == 3
+    storage.write_snapshot(ks.limit(1), f"file://{tmp_path}/s", 5, NOW)
+    image, facts = storage.read_snapshot(spark, f"file://{tmp_path}/s")
+    assert facts["lsn"] == 5 and image.count() == 1 and len(list((tmp_path / "s").glob("image-*"))) == 1
+
+
 def test_frames(spark):
     data = b"*2\r\n$3\r\nGET\r\n$1\r\na\r\nPING  x\r\n\r\n*1\r\n$4\r\nPI"
     assert resp.requests(data)[0] == [[b"GET", b"a"], [b"PING", b"x"]]
