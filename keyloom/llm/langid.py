@@ -31,6 +31,8 @@ from . import textops
 SAMPLE_DOCS, SAMPLE_WORDS = 250, 30
 MAX_BYTES, CONTEXT, EMBED, HIDDEN = 24, 12, 8, 12
 EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 5
+#: Rows of (doc_id, lang) that every task may get; a larger sample meets the texts by shuffle.
+BROADCAST_ROWS = 100_000
 #: Words whose results a worker keeps.
 CACHE_WORDS = 500_000
 #: Bytes of text looked at in one go; of a longer text, one part after the other.
@@ -343,6 +345,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
                 [pa.array(ids_, pa.int64()), pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["doc_id", "lang", "word"]
             )
 
+    if count.count() * sample_docs <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     picked = labelled.select(F.col("doc_id").cast("long"), "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     got = picked.mapInArrow(draw, "doc_id long, lang string, word binary").orderBy("doc_id", "lang", "word").toArrow()
     names = sorted(set(got["lang"].to_pylist()))
