@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from keyloom.llm.common import read_documents
@@ -39,6 +41,22 @@ def test_stages_on_odd_tables(spark):
             stage(spark, df, SMALL).collect()
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Rows that share a doc_id, or have none, but differ in text keep their own fate."""
+    schema = read_documents(spark, SMALL).schema
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (2, a + " z", "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "t", 1), (None, c + " z", "en", "t", 1), (None, "", "en", "t", 0)]
+    df = spark.createDataFrame(rows, schema)
+    near = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SMALL).collect())
+    assert [(i, t) for i, t in near if t in (a, b, "")] == [("1", a), ("2", b), ("None", "")] and len(near) == 4
+    taken = {}
+    for r in corpus_pipeline.mix(spark, df.withColumn("_text_hash", F.xxhash64("text")), keep=("_text_hash",))[0].collect():
+        taken[r._text_hash] = round(r.taken / r.size) if r["size"] else 1
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    mixed = [r.text for r in corpus_pipeline.mix_sources(spark, df, SMALL).collect()]
+    assert {t: mixed.count(t) for t in hashes} == {t: taken[h] for t, h in hashes.items()}
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
