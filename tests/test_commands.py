@@ -97,7 +97,7 @@ def test_a_long_chain_of_renames_is_one_group(spark):
 
 
 def test_every_command_of_the_table_gets_a_reply(spark):
-    argued = {"command": [b"info", b"GET", b"nope"], "memory": [b"usage", b"k"], "object": [b"encoding", b"k"], "copy": [b"k", b"k2"], "select": [b"0"]}
+    argued = {"command": [b"info", b"GET", b"nope"], "memory": [b"usage", b"k"], "object": [b"encoding", b"k"], "copy": [b"k", b"k2"], "select": [b"0"], "debug": [b"object", b"k"], "config": [b"get", b"max*"], "client": [b"list"], "scan": [b"0"]}
     rows = [(0, 0, START, [b"set", b"k", b"1"]), (1, 1, START, [b"get", b"k"]), (1, 2, START, [b"exists", b"k", b"none"]), (1, 3, START, [b"bogus"])]
     rows += [(1, 4, START, [b"incr", b"k", b"1"]), (2, 5, START, [b"set", b"x", b"yz", b"px", b"100"]), (2, 6, START, [b"incr", b"x"]), (0, 7, START, [b"INFO"]), (0, 8, START + 100, [b"info", b"Keyspace"])]
     rows += [(0, 9, START, [b"command", b"getkeys", b"mset", b"a", b"1", b"b", b"2"]), (0, 10, START, [b"command", b"docs", b"ping"]), (0, 11, START, [b"command"])]
@@ -118,3 +118,42 @@ def test_every_command_of_the_table_gets_a_reply(spark):
     assert wire[10].startswith(b"*2\r\n$4\r\nping\r\n*6\r\n$7\r\nsummary\r\n") and wire[10].endswith(b"$5\r\narity\r\n:-1\r\n")
     info = resp.encode(replies).where(f"seq = {next(r[1] for r in rows if r[3][:2] == [b'command', b'info'])}").first()
     assert bytes(info.data) == b"*2\r\n*10\r\n$3\r\nget\r\n:2\r\n*2\r\n+readonly\r\n+fast\r\n:1\r\n:1\r\n:1\r\n*0\r\n*0\r\n*0\r\n*0\r\n*-1\r\n"
+
+
+def test_commands_about_sessions_settings_and_all_keys(spark):
+    said = [
+        (1, "hello 3 setname bob"), (2, "client setname al"), (1, "client getname"), (2, "set k 12"), (2, "object encoding k"), (1, "object freq k"),
+        (1, "memory usage k"), (1, "memory usage none"), (2, "debug object k"), (1, "memory stats"), (1, "client info"), (2, "client list"), (2, "client kill id 1"),
+        (2, "client kill skipme no"), (1, "config set loglevel warn"), (2, "config get LOG* maxc*"), (2, "config set port 1"), (2, "config set nope 1"),
+        (1, "reset"), (1, "client getname"), (3, "scan x"), (3, "scan 0 count 0"), (3, "scan 0 type hash"), (3, "hello 9"), (3, "randomkey"),
+        (3, "memory stats"), (3, "client id"),
+    ]
+    rows = [(c, k, START + 1000 * k, [w.encode() for w in line.split()]) for k, (c, line) in enumerate(said)]
+    replies, _ = commands.execute(spark, spark.createDataFrame(rows, "conn bigint, seq bigint, now_ms bigint, args array<binary>"))
+    wire = {r.seq: bytes(r.data) for r in resp.encode(replies).collect()}
+    got = {line: wire[k] for k, (_, line) in enumerate(said)}
+    assert sorted(wire) == list(range(len(said)))
+    assert wire[2] == b"$3\r\nbob\r\n" and wire[19] == b"$-1\r\n" and got["hello 3 setname bob"].startswith(b"*14\r\n$6\r\nserver\r\n")
+    assert got["object encoding k"] == b"$3\r\nint\r\n" and b"LFU" in got["object freq k"] and got["memory usage k"] == b":67\r\n"
+    assert got["memory usage none"] == b"$-1\r\n" and b"serializedlength:2 " in got["debug object k"]
+    assert wire[9] == b"*6\r\n$10\r\nkeys.count\r\n:1\r\n$13\r\nkeys.volatile\r\n:0\r\n$13\r\ndataset.bytes\r\n:67\r\n" == wire[25]
+    assert got["client info"].endswith(b"id=1 addr= laddr= name=bob age=10 idle=0 db=0 resp=3 cmd=client numcmds=7\r\n")
+    assert got["client list"].count(b"\n") == 4 and b"id=2 addr= laddr= name=al age=10 " in got["client list"]
+    assert got["client kill id 1"] == b":1\r\n" and got["client kill skipme no"] == b":2\r\n" and got["client id"] == b":3\r\n"
+    assert got["config get LOG* maxc*"] == b"*4\r\n$8\r\nloglevel\r\n$4\r\nwarn\r\n$10\r\nmaxclients\r\n$5\r\n10000\r\n"
+    assert b"not modifiable" in got["config set port 1"] and b"Unknown option" in got["config set nope 1"]
+    assert got["scan x"] == b"-ERR invalid cursor\r\n" and got["scan 0 count 0"] == b"-ERR syntax error\r\n"
+    assert got["scan 0 type hash"] == b"*2\r\n$1\r\n0\r\n*0\r\n" and got["hello 9"].startswith(b"-NOPROTO") and got["randomkey"] == b"$1\r\nk\r\n"
+
+
+def test_scan_pages_meet_every_key_once(spark):
+    ks = spark.createDataFrame([(f"k{i}".encode(), b"v", 0) for i in range(57)], "key binary, value binary, expire_at bigint")
+    cursor, met, pages = b"0", [], 0
+    while pages == 0 or cursor != b"0":
+        cmd = [(0, 0, START, [b"scan", cursor, b"count", b"10", b"match", b"k[1-9]*"])]
+        replies, _ = commands.execute(spark, spark.createDataFrame(cmd, "conn bigint, seq bigint, now_ms bigint, args array<binary>"), ks)
+        row = replies.first()
+        cursor, keys = bytes(row.elems[0].s), [bytes(e.s) for e in row.elems[2:]]
+        assert row.i == 2 and row.elems[1].i == len(keys) <= 10
+        met, pages = met + keys, pages + 1
+    assert pages == 6 and sorted(met) == sorted(f"k{i}".encode() for i in range(1, 57))
