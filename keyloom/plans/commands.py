@@ -135,7 +135,10 @@ def execute(spark: SparkSession, cmds: DataFrame, ks: DataFrame | None = None) -
     rows = rows.withColumn("path", F.when(told, "facts").when(seen, "clients").when(F.col("ok") & F.col("name").isin(*GLOBAL), "keys").otherwise("run")).cache()
     keyed = key_rows(rows.where("path = 'run'"))
     tied = keyed.where(F.col("name").isin(*TIED))
-    groups = _groups(tied)
+    present = {(r["path"], r["name"]) for r in rows.where("ok").select("path", "name").distinct().collect()}
+    paths = {path for path, _ in present}
+    untied = spark.createDataFrame([], "key binary, grp binary")
+    groups = _groups(tied) if {name for _, name in present} & set(TIED) else untied
     apart = F.col("name").isin(*APART)
     one = (
         F.when(F.col("name") == "mset", F.array(F.lit(b"mset"), F.col("key"), F.get("args", F.col("place") + 1)))
@@ -181,7 +184,6 @@ def execute(spark: SparkSession, cmds: DataFrame, ks: DataFrame | None = None) -
     bare = free.where("pos >= 0").select("conn", "seq", "kind", "i", "s", "err", "elems")
     mutations = done.where("pos = -2").select("seq", "key", "value", "expire_at", "gone")
     answered = whole.unionByName(joined).unionByName(bare)
-    paths = {r["path"] for r in rows.where("path <> 'run'").select("path").distinct().collect()}
     replies = answered
     if "keys" in paths:
         replies = replies.unionByName(_global_reads(rows.where("path = 'keys'"), mutations, ks))

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.functions import coding
 from keyloom.operators import lsm, read
 from keyloom.plans import log
-from keyloom.sources import resp, storage
+from keyloom.sources import binlog, config, resp, storage
 from keyloom.streaming import fold
 
 NOW = 1_700_000_000_000
@@ -136,3 +137,74 @@ def test_frames(spark):
     assert resp.reply_bytes("bool", 1, None, None, None, 3) == b"#t\r\n" and resp.reply_bytes("bool", 1, None, None, None) == b":1\r\n"
     frames = spark.createDataFrame([(1, data)], "conn bigint, data binary")
     assert resp.decode(frames).where(F.col("err").isNull()).count() == 2
+
+
+def test_coding():
+    assert coding.crc32c(b"123456789") == 0xE3069283 == coding.crc32c(b"6789", coding.crc32c(b"12345"))
+    for n in (0, 1, 127, 128, 300, (1 << 63) - 1, (1 << 64) - 1):
+        assert coding.read_unsigned(b"x" + coding.write_unsigned(n), 1) == (n, 1 + len(coding.write_unsigned(n)))
+    for n in (0, -1, 1, -64, 64, -(1 << 63), (1 << 63) - 1):
+        assert coding.read_signed(coding.write_signed(n))[0] == n
+    assert coding.write_signed(-1) == b"\x01" and coding.write_unsigned(300) == b"\xac\x02"
+    for bad in (b"", b"\x80", b"\xff" * 10 + b"\x01", b"\xff" * 9 + b"\x02"):
+        with pytest.raises(ValueError):
+            coding.read_unsigned(bad)
+    with pytest.raises(ValueError):
+        coding.read_bytes(b"\x05abc")
+
+
+def test_binary_log_round_trip_and_torn_tail(spark, tmp_path):
+    rows = [(1, 0, "put", "a", "1", 0), (2, 0, "put", "b", "1", -5), (2, 1, "delete", "a", None, None), (3, 0, "flushall", None, None, None), (4, 0, "delete", "c", None, None), (5, 0, "put", "ü", "", NOW)]
+    parts = sorted(binlog.encode(_log(spark, rows), 2).collect(), key=lambda r: r.first)
+    assert [r.first for r in parts] == [1, 3, 5]
+
+    def write(*datas):
+        for old in tmp_path.glob("*.wal"):
+            old.unlink()
+        for k, data in enumerate(datas):
+            (tmp_path / f"{k:020d}.wal").write_bytes(data)
+        found = binlog.read(spark, f"file://{tmp_path}").collect()
+        return sorted((r.lsn, r.pos, r.op, r.key and bytes(r.key).decode(), None if r.value is None else bytes(r.value).decode(), r.expire_at) for r in found)
+
+    datas = [bytes(r.data) for r in parts]
+    assert write(*datas) == rows
+    assert [r.lsn for r in binlog.read(spark, f"file://{tmp_path}", 3).collect()] == [4, 5]
+    for torn in (datas[1][:-1], datas[1][:-3], datas[1] + b"\0" * 5, datas[1][:-1] + b"!"):
+        got = write(datas[0], torn)
+        assert got == (rows[:5] if torn.startswith(datas[1]) else rows[:4])
+        with pytest.raises(Exception, match="offset"):
+            write(datas[0], torn, datas[2])
+    with pytest.raises(Exception, match="go on"):
+        write(datas[0], datas[2])
+    with pytest.raises(Exception, match="bad magic"):
+        write(b"nonsense" * 10)
+
+
+def test_settings(spark):
+    assert [config.size(t) for t in ("7", " 64MB ", "1k", "2 kb", "3g")] == [7, 64 << 20, 1000, 2048, 3 * 10**9]
+    for bad in ("", "x", "-1", "1.5mb", "1tb"):
+        with pytest.raises(ValueError):
+            config.size(bad)
+    text = "# a comment\n\nport 7000\nSAVE 60 5\nsave 10 1\nappendonly no\nproto-max-bulk-len 1mb\n"
+    got = config.settings(text, {"KEYLOOM_MAXCLIENTS": "9", "OTHER": "x"}, loglevel="warn")
+    assert (got["bind"], got["port"], got["save"], got["appendonly"], got["proto-max-bulk-len"], got["maxclients"], got["loglevel"]) == (":7000", "7000", "60 5 10 1", "no", "1048576", "9", "warn")
+    assert config.directives("save")["save"] == "" and len(config.DEFAULTS) == 21
+    for bad in ("nope 1", "port 1\nmaxclients x", "databases 2", "storage-engine disk", "appendfsync often"):
+        with pytest.raises(ValueError, match="line"):
+            config.directives(bad)
+
+
+def test_replies_are_read_back(spark):
+    data = b"+OK\r\n:-7\r\n$3\r\na\r\n\r\n*2\r\n*1\r\n#t\r\n$-1\r\n|1\r\n+k\r\n:1\r\n%1\r\n+a\r\n,1.5\r\n_\r\n=7\r\ntxt:abc\r\n$9\r\ncut"
+    found, used = resp.replies(data)
+    assert [r[0] for r in found] == [("status", None, b"OK"), ("int", -7, None), ("bulk", None, b"a\r\n"), ("array", 2, None), ("map", 1, None), ("null", None, None), ("verbatim", None, b"txt:abc")]
+    assert found[3][1:] == [("array", 1, None), ("bool", 1, None), ("null", None, None)] and found[4][1:] == [("status", None, b"a"), ("double", None, b"1.5")]
+    assert data[used:] == b"$9\r\ncut"
+    for bad in (b"?x\r\n", b":x\r\n", b"+ab\n", b"$600000000\r\n", b"*1\r\n" * 66 + b"+x\r\n", b",x\r\n"):
+        with pytest.raises(resp.BadFrame):
+            resp.replies(bad)
+    frames = spark.createDataFrame([(1, b"+a\r\n:5\r\n?\r\n"), (2, b"*1\r\n$1\r\nx\r\n")], "conn bigint, data binary")
+    got = sorted((r.conn, r.seq, r.kind, r.i, r.err is not None, r.elems and len(r.elems)) for r in resp.decode_replies(frames).collect())
+    assert got == [(1, 0, "status", None, False, None), (1, 1, "int", 5, False, None), (1, 2, None, None, True, None), (2, 0, "array", 1, False, 1)]
+    asked = spark.createDataFrame([(1, b"PING\r\n*1\r\n$x\r\n")], "conn bigint, data binary")
+    assert [(r.seq, r.args and [bytes(a) for a in r.args], r.err is None) for r in resp.decode(asked).orderBy("seq").collect()] == [(0, [b"PING"], True), (1, None, False)]
