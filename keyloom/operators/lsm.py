@@ -16,6 +16,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import SCAN_COUNT_MAX
+
 RUN = "key binary, is_delete boolean, value binary, expire_at bigint"
 
 
@@ -45,6 +47,7 @@ class Manifest:
     next_number: int = 1
     last_lsn: int = 0
     last_batch: int = -1
+    picked: dict[str, str] = field(default_factory=dict)  # by level: largest key of the file compacted last
     files: list[RunFile] = field(default_factory=list)
 
     def level(self, n: int) -> list[RunFile]:
@@ -193,9 +196,48 @@ class Store:
         found = merged(self.read(None, key, key).where(F.col("key") == F.lit(key)))
         return found.where((F.col("expire_at") == 0) | (F.col("expire_at") > now)).select("value")
 
-    def scan(self, start: bytes, limit: int, now: int) -> DataFrame:
+    def live(self, now: int, start: bytes | None = None) -> DataFrame:
         rows = merged(self.read(None, start)).where((F.col("expire_at") == 0) | (F.col("expire_at") > now))
-        return rows.select("key", "value", "expire_at").orderBy("key").limit(limit)
+        return rows.select("key", "value", "expire_at")
+
+    def scan(self, start: bytes, limit: int, now: int) -> DataFrame:
+        """A page in key order; ``limit`` is held between 1 and 100,000."""
+        return self.live(now, start).orderBy("key").limit(max(1, min(limit, SCAN_COUNT_MAX)))
+
+    def page(self, start: bytes, limit: int, now: int) -> tuple[DataFrame, bytes | None]:
+        """(page, key to go on from): the latter is None behind the last page."""
+        limit = max(1, min(limit, SCAN_COUNT_MAX))
+        last = self.live(now, start).select("key").orderBy("key").limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("key")).first()
+        return self.scan(start, limit, now), bytes(last["key"]) if last["n"] > limit else None
+
+    def exact_len(self, now: int) -> int:
+        return self.live(now).count()
+
+    def estimated_len(self) -> int:
+        """Entries that the manifest counts: versions, tombstones and expired records too."""
+        return sum(f.entries for f in self.manifest().files)
+
+    def write(self, mutations: DataFrame, lsn: int, now: int) -> None:
+        """Append a batch (pos, op, key, value, expire_at) as one run, later positions over earlier ones.
+
+        A writer that finds ``level0_stop`` runs waiting compacts first.
+        """
+        while len({f.path.rpartition("/")[0] for f in self.manifest().level(0)}) >= self.options.level0_stop and self.compact_once(now):
+            pass
+        last = mutations.groupBy("key").agg(F.max_by(F.struct("op", "value", "expire_at"), "pos").alias("m"))
+        gone = F.col("m.op") == "delete"
+        self.flush(last.select("key", gone.alias("is_delete"), F.when(~gone, F.col("m.value")).alias("value"), F.coalesce("m.expire_at", F.lit(0)).cast("bigint").alias("expire_at")), lsn)
+
+    def put(self, rows: DataFrame, lsn: int, now: int) -> None:
+        """Write key, value, expire_at; of a key named twice any one row stays."""
+        self.write(rows.select(F.lit(0).alias("pos"), F.lit("put").alias("op"), "key", "value", "expire_at"), lsn, now)
+
+    def delete(self, keys: DataFrame, lsn: int, now: int) -> int:
+        """Delete keys; the number of them that were live, each counted once."""
+        keys = keys.select("key").distinct()
+        n = self.live(now).join(keys, "key", "left_semi").count()
+        self.write(keys.select(F.lit(0).alias("pos"), F.lit("delete").alias("op"), "key", F.lit(None).cast("binary").alias("value"), F.lit(0).cast("bigint").alias("expire_at")), lsn, now)
+        return n
 
     def flush_all(self, lsn: int) -> None:
         """A run of tombstones for every key."""
@@ -213,8 +255,9 @@ class Store:
         if scores[level] < 1 or (level and scores[level] <= 1):
             return None
         inputs = manifest.level(level)
-        if level:  # round robin: the oldest file of the level goes first
-            inputs = [min(inputs, key=lambda f: f.number)]
+        if level:  # round robin: the first file behind the one that went last, or the first of all
+            behind = manifest.picked.get(str(level), "")
+            inputs = [next((f for f in inputs if f.max_key > behind), inputs[0])]
         lo, hi = min(f.min_key for f in inputs), max(f.max_key for f in inputs)
         return level, inputs, [f for f in manifest.level(level + 1) if f.min_key <= hi and lo <= f.max_key]
 
@@ -226,6 +269,8 @@ class Store:
             return False
         level, inputs, below = due
         part = Manifest(manifest.next_number, manifest.last_lsn, files=inputs + below)
+        if level:
+            manifest.picked[str(level)] = inputs[0].max_key
         deeper = [(bytes.fromhex(f.min_key), bytes.fromhex(f.max_key)) for f in manifest.files if f.level > level + 1]
         ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary")
         rows = compact(self.read(part), ranges, now).select("key", "is_delete", "value", "expire_at")

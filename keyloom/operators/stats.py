@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 
+REPORTED = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))
+
 
 def keyspace(ks: DataFrame, now: int) -> DataFrame:
     """keys, expires, bytes, expired over a keyspace."""
@@ -53,6 +55,29 @@ def summary(samples: DataFrame, value: str = "v", qs=(0.5, 0.95, 0.99, 0.999)) -
     return facts.join(wide)
 
 
+def report(samples: DataFrame, by: str, seconds: float, value: str = "v") -> DataFrame:
+    """A row for each ``by``: n, per_sec, min, mean, max and the histogram's p50, p95, p99 and p999."""
+    hist = samples.select(by, exprs.histogram_bucket(F.col(value)).alias("bucket")).groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # a few thousand buckets each, so a task may hold those of one
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy(by))
+    seen = hist.withColumn("upto", upto).withColumn("total", total)
+    wide = seen.groupBy(by).agg(
+        *(F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("bucket"))).alias(name) for name, q in REPORTED)
+    )
+    facts = samples.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")
+    )
+    rate = (F.col("n") / F.lit(float(seconds))).alias("per_sec")
+    return facts.join(wide, by).select(by, "n", rate, "min", "mean", "max", *(exprs.bucket_floor(name).alias(name) for name, _ in REPORTED))
+
+
+def markdown(table: DataFrame) -> str:
+    """A small report as a Markdown table."""
+    rows = [table.columns, ["---"] * len(table.columns), *([f"{v:.2f}" if isinstance(v, float) else str(v) for v in r] for r in table.collect())]
+    return "".join("| " + " | ".join(r) + " |\n" for r in rows)
+
+
 def commands(cmds: DataFrame) -> DataFrame:
     """name, calls, first_ms, last_ms."""
     return cmds.groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.min("now_ms").alias("first_ms"), F.max("now_ms").alias("last_ms"))

@@ -142,3 +142,9 @@ def copy(ks: DataFrame, moves: DataFrame, now: int, replace: bool = False) -> Da
 
 def flush(ks: DataFrame) -> DataFrame:
     return ks.where(F.lit(False))
+
+
+def reap(ks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(what is left, one row with n): active expiry as a batch, every expired record at once."""
+    gone = (F.col("expire_at") != 0) & (F.col("expire_at") <= now)
+    return ks.where(~gone), ks.where(gone).agg(F.count(F.lit(1)).alias("n"))

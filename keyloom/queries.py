@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from .functions import exprs
-from .functions.text import format_float
 from .operators import lsm, read, stats, write
 from .plans import commands, log
-from .plans.table import command_table
+from .plans.table import COMMANDS, command_table
 from .sources import resp
 from .sources.derived import NOW, derived, duck
+from .streaming import fold
 
 QUERIES, ORACLE_SQL = {}, {}
 LIVE = f"(expire_at = 0 OR expire_at > {NOW})"
@@ -386,9 +387,27 @@ def copy_replace(ks):
     return write.copy(once, moves, NOW, replace=True)
 
 
-@query("kv_orders", sql="SELECT key, value, expire_at FROM kv_orders WHERE false")
+@query("kv_orders", sql=f"SELECT key, 'new:' || value AS value, CAST(0 AS BIGINT) AS expire_at FROM kv_orders WHERE {_N} % 10 = 3")
 def flush_all(ks):
-    return write.flush(ks)
+    """What is written after a flush is all there is."""
+    return write.put_all(write.flush(ks), _batch(ks, 10, 3).withColumn("pos", F.lit(0))).select("key", "value", "expire_at")
+
+
+@query("kv_orders", sql=f"SELECT key, value, expire_at FROM kv_orders WHERE {LIVE}")
+def reap_left(ks):
+    return write.reap(ks, NOW)[0]
+
+
+@query("kv_orders", sql=f"SELECT count(*) AS n FROM kv_orders WHERE NOT {LIVE}")
+def reap_count(ks):
+    return write.reap(ks, NOW)[1]
+
+
+@query("kv_orders", sql=f"SELECT key, CASE WHEN {_N} % 3 = 1 THEN value || '+tail' ELSE value END AS value, expire_at, CAST(strlen(value) + CASE WHEN {_N} % 3 = 1 THEN 5 ELSE 0 END AS BIGINT) AS n FROM kv_orders WHERE {LIVE}")
+def append_existing(ks):
+    """Values that are there keep their expiry and grow."""
+    tails = read.live(ks, NOW).where(_n() % 3 == 1).select("key", F.lit("+tail").alias("suffix"))
+    return write.append_all(ks, tails, NOW).select("key", "value", "expire_at", "n")
 
 
 # ---------------------------------------------------------------- runs
@@ -408,10 +427,17 @@ def lsm_compaction_drop(runs):
     return lsm.compact(runs.where("rk < 2"), deeper).select("key", "is_delete", "value")
 
 
-@query("lsm_runs", sql="SELECT rk + 1 AS level, min(key) AS min_key, max(key) AS max_key FROM lsm_runs GROUP BY rk, substr(key, 1, 5) HAVING false")
+_FILES = """(SELECT rk + 1 AS level, min(key) AS min_key, max(key) AS max_key FROM lsm_runs GROUP BY rk, substr(key, 1, 6)
+    UNION ALL SELECT rk + 1, min(key), max(key) FROM lsm_runs WHERE rk < 2 AND key > '00000150' GROUP BY rk)"""
+
+
+@query("lsm_runs", sql=f"SELECT level, min_key, max_key FROM (SELECT *, lag(max_key) OVER (PARTITION BY level ORDER BY min_key, max_key) AS before FROM {_FILES}) WHERE before >= min_key")
 def lsm_level_overlap_check(runs):
-    files = runs.groupBy("rk", F.substring("key", 1, 5).alias("p")).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
-    return lsm.overlaps(files.select((F.col("rk") + 1).alias("level"), "min_key", "max_key")).select("level", "min_key", "max_key")
+    """Files cut by prefix, with one more on two levels that reaches over others."""
+    level, span = (F.col("rk") + 1).alias("level"), (F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    files = runs.groupBy(level, F.substring("key", 1, 6).alias("p")).agg(*span).drop("p")
+    wide = runs.where("rk < 2 AND key > '00000150'").groupBy(level).agg(*span)
+    return lsm.overlaps(files.unionByName(wide)).select("level", "min_key", "max_key")
 
 
 @query("lsm_runs", sql="SELECT rk AS level, count(*) AS entries, count_if(is_delete) AS tombstones, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes, min(key) AS min_key, max(key) AS max_key FROM lsm_runs GROUP BY rk")
@@ -426,8 +452,6 @@ def lsm_store_roundtrip(spark, sf_dir):
     """Four flushes, compaction until nothing is due, then the keyspace."""
     runs = derived(spark, sf_dir, "lsm_runs")
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
     store = lsm.Store(spark, f"{base}/store-{uuid.uuid4().hex}", lsm.CompactionOptions(level0_trigger=2, level1_bytes=1 << 20, file_bytes=1 << 18))
     for rank in (3, 2, 1, 0):
         rows = runs.where(F.col("rk") == rank).select(F.col("key").cast("binary").alias("key"), "is_delete", F.col("value").cast("binary").alias("value"), F.lit(0).cast("bigint").alias("expire_at"))
@@ -458,10 +482,25 @@ def histogram_buckets(samples):
     return stats.histogram(samples)
 
 
-@query("samples", sql=f"SELECT bucket, CAST(2 * n AS BIGINT) AS n FROM {_HIST}")
+@query("samples", sql=f"SELECT bucket, n FROM {_HIST}")
 def histogram_merge(samples):
-    h = stats.histogram(samples)
-    return stats.merge(h, h)
+    """Histograms of three parts, merged."""
+    return stats.merge(*(stats.histogram(samples.where(F.col("l_orderkey") % 3 == k)) for k in range(3)))
+
+
+_BY_LINE = f"(SELECT l_linenumber, CAST({_BUCKET} AS BIGINT) AS b, count(*) AS n FROM samples GROUP BY 1, 2)"
+_REACHED = ", ".join(f"min(CASE WHEN upto >= ceil(CAST({q} AS DOUBLE) * total) THEN CAST({_FLOOR} AS BIGINT) END) AS {name}" for name, q in stats.REPORTED)
+
+
+@query(
+    "samples",
+    sql=f"""SELECT l_linenumber, n, n / 30.0::DOUBLE AS per_sec, lo AS min, mean, hi AS max, p50, p95, p99, p999
+    FROM (SELECT l_linenumber, count(*) AS n, min(v) AS lo, CAST(sum(v) AS DOUBLE) / count(*) AS mean, max(v) AS hi FROM samples GROUP BY 1)
+    JOIN (SELECT l_linenumber, {_REACHED} FROM (SELECT *, sum(n) OVER (PARTITION BY l_linenumber ORDER BY b) AS upto, sum(n) OVER (PARTITION BY l_linenumber) AS total FROM {_BY_LINE}) GROUP BY 1) USING (l_linenumber)""",
+)
+def bench_report(samples):
+    """A run's report with a row for each kind of request."""
+    return stats.report(samples, "l_linenumber", 30.0)
 
 
 @query("samples", sql=f"SELECT q, CAST({_FLOOR} AS BIGINT) AS value FROM (SELECT q, min(bucket) AS b FROM (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM {_HIST}), (VALUES (CAST(0.5 AS DOUBLE)), (0.95), (0.99), (0.999)) t(q) WHERE upto >= ceil(q * total) GROUP BY q)")
@@ -502,6 +541,7 @@ def command_list(spark, sf_dir):
 
 
 QUERIES["command_list"] = command_list
+ORACLE_SQL["command_list"] = "SELECT split_part(line, ' ', 1) AS name, CAST(split_part(line, ' ', 2) AS BIGINT) AS arity FROM (SELECT unnest(string_split('" + COMMANDS.strip() + "', chr(10))) AS line)"
 
 
 @query("cmd_log", sql="""SELECT c.seq, CAST(max(CASE WHEN w.seq IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n FROM cmd_log c LEFT JOIN cmd_log w
@@ -518,11 +558,17 @@ def command_replies(spark, sf_dir):
     return replies.select("conn", "seq", "kind", "i", F.col("s").cast("string").alias("s"), "err")
 
 
-def incrbyfloat_fold(spark, sf_dir):
-    """Sum of quarters by key, as the store would write it."""
-    cmds = derived(spark, sf_dir, "cmd_log").where("name = 'incr'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    text = F.udf(lambda n: format_float(n * 0.25))
-    return cmds.select("key", text("n").alias("value"))
+@query(
+    "cmd_log",
+    sql="""SELECT key, CASE WHEN n % 4 = 0 THEN CAST(n // 4 AS VARCHAR) ELSE rtrim(CAST(CAST(n AS DECIMAL(18, 2)) / 4 AS DECIMAL(18, 2))::VARCHAR, '0') END AS value
+    FROM (SELECT key, count(*) AS n FROM cmd_log WHERE name = 'incr' GROUP BY key)""",
+)
+def incrbyfloat_fold(cmds):
+    """A log of INCRBYFLOAT key 0.25, run in order; what the keys hold at its end."""
+    args = F.array(F.lit("INCRBYFLOAT"), F.col("key"), F.lit("0.25"))
+    said = cmds.where("name = 'incr'").select("conn", "seq", "now_ms", F.transform(args, lambda x: x.cast("binary")).alias("args"))
+    _, mutations = commands.execute(cmds.sparkSession, said)
+    return commands.keyspace_after(mutations).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 def resp_encode(spark, sf_dir):
@@ -537,4 +583,22 @@ def resp_decode(spark, sf_dir):
     return resp.decode(frames).select("conn", "seq", F.array_join(F.transform("args", lambda a: a.cast("string")), " ").alias("line"))
 
 
-QUERIES |= {f.__name__: f for f in (command_replies, incrbyfloat_fold, resp_encode, resp_decode)}
+def stream_fold(spark, sf_dir):
+    """The whole command log as a stream, its keys' records in keyed state; the replies."""
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    _args(derived(spark, sf_dir, "cmd_log")).write.parquet(f"{base}/log")
+    log_stream = spark.readStream.schema("conn bigint, seq bigint, now_ms bigint, args array<binary>").parquet(f"{base}/log")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        written = fold.fold_stream(log_stream, "Append").writeStream.option("checkpointLocation", f"{base}/state").option("path", f"{base}/replies")
+        written.format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    out = spark.read.schema(fold.OUTPUT).parquet(f"{base}/replies")
+    return out.select(F.col("key").cast("string").alias("key"), "conn", "seq", "kind", "i", F.col("s").cast("string").alias("s"), "err")
+
+
+QUERIES |= {f.__name__: f for f in (command_replies, resp_encode, resp_decode, stream_fold)}
+ORACLE_SQL["resp_decode"] = duck("cmd_log") + "SELECT conn, row_number() OVER (PARTITION BY conn ORDER BY seq) - 1 AS seq, concat_ws(' ', name, key, arg) AS line FROM cmd_log"

@@ -46,11 +46,11 @@ class KeyFold(StatefulProcessor):
         pass
 
 
-def fold_stream(cmds: DataFrame) -> DataFrame:
-    """Replies of a stream of single-key commands (conn, seq, now_ms, args)."""
+def fold_stream(cmds: DataFrame, mode: str = "Update") -> DataFrame:
+    """Replies of a stream of single-key commands (conn, seq, now_ms, args); files take them in mode Append."""
     keyed = cmds.withColumn("key", F.get("args", F.lit(1)))
     return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=KeyFold(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+        statefulProcessor=KeyFold(), outputStructType=OUTPUT, outputMode=mode, timeMode="None"
     )
 
 

@@ -208,3 +208,32 @@ def test_replies_are_read_back(spark):
     assert got == [(1, 0, "status", None, False, None), (1, 1, "int", 5, False, None), (1, 2, None, None, True, None), (2, 0, "array", 1, False, 1)]
     asked = spark.createDataFrame([(1, b"PING\r\n*1\r\n$x\r\n")], "conn bigint, data binary")
     assert [(r.seq, r.args and [bytes(a) for a in r.args], r.err is None) for r in resp.decode(asked).orderBy("seq").collect()] == [(0, [b"PING"], True), (1, None, False)]
+
+
+def test_store_calls(spark, tmp_path):
+    store = lsm.Store(spark, f"file://{tmp_path}/calls", lsm.CompactionOptions(level0_trigger=2, level0_stop=2, level1_bytes=1 << 11, file_bytes=1 << 9))
+    rows = lambda keys, v, e=0: spark.createDataFrame([(f"k{i:03d}".encode(), v, e) for i in keys], "key binary, value binary, expire_at bigint")
+    store.put(rows(range(60), b"a"), 1, NOW)
+    store.put(rows(range(50, 70), b"b", NOW), 2, NOW - 1)
+    assert store.exact_len(NOW - 1) == 70 and store.exact_len(NOW) == 50 and store.estimated_len() == 80
+    assert store.delete(rows([0, 0, 1, 55, 99], b""), 3, NOW) == 2
+    assert store.estimated_len() < 80  # two runs were waiting, so the writer compacted them first
+    batch = [(0, "put", b"k000", b"x", 0), (1, "delete", b"k000", None, 0), (0, "delete", b"k001", None, 0), (1, "put", b"k001", b"y", 0)]
+    store.write(spark.createDataFrame(batch, "pos int, op string, key binary, value binary, expire_at bigint"), 4, NOW)
+    assert store.get(b"k000", NOW).count() == 0 and bytes(store.get(b"k001", NOW).first().value) == b"y"
+    start, met = b"", []
+    while start is not None:
+        page, start = store.page(start, 20, NOW)
+        met += [bytes(r.key) for r in page.collect()]
+    assert met == [f"k{i:03d}".encode() for i in range(1, 50)]
+
+
+def test_compaction_goes_round(spark, tmp_path):
+    files = [lsm.RunFile(1, n, f"run-{n}/f", 100, 1, f"{n}0", f"{n}9") for n in (3, 1, 2)]
+    store, manifest = lsm.Store(spark, f"file://{tmp_path}/r", lsm.CompactionOptions(level1_bytes=10)), lsm.Manifest(files=files)
+    order = []
+    for _ in range(4):
+        _, (one,), _ = store.pick(manifest)
+        order.append(one.number)
+        manifest.picked["1"] = one.max_key
+    assert order == [1, 2, 3, 1]
