@@ -249,6 +249,27 @@ def merge(runs: list[Run]):
             node //= 2
 
 
+def _alike(rows: np.ndarray, ok: np.ndarray, h: np.ndarray, group: np.ndarray, length: int, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows ``ok`` with equal windows at offset o side by side, whether each begins a new window).
+
+    Hashes bring windows together, their bytes decide: where two with one hash differ, all
+    are sorted by their bytes.
+    """
+    order = np.argsort(h, kind="stable")
+    h, who = h[order], ok[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    pair = np.flatnonzero(~new)
+    a, b = who[pair - 1], who[pair]
+    x, y = rows[a], rows[b]
+    differ = (x[:, : length - o] != y[:, : length - o]).any(1) | (x[:, length : length + o] != y[:, length : length + o]).any(1)
+    if (differ | (group[a] != group[b])).any():
+        window = np.concatenate([rows[ok, : length - o], rows[ok, length : length + o]], axis=1)
+        order = np.lexsort((*window.T, group[ok]))
+        who, window = ok[order], window[order]
+        new = np.r_[True, (window[1:] != window[:-1]).any(1) | (group[who[1:]] != group[who[:-1]])]
+    return who, new
+
+
 def _answers(rows: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, length: int):
     """(row, lowest offset, highest offset, smallest document) for windows seen in an earlier one.
 
@@ -270,12 +291,10 @@ def _answers(rows: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.nd
         ok = np.flatnonzero((left_n >= o) & (right_n >= length - o))
         if not len(ok):
             continue
-        h = prefix[length - o, ok] ^ behind[ok]
-        order = np.argsort(h)
-        h, who = h[order], ok[order]
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        who, new = _alike(rows, ok, prefix[length - o, ok] ^ behind[ok], group, length, o)
+        edge = np.flatnonzero(new)
         least = np.minimum.reduceat(first[who], edge)
-        smallest[o, who] = np.repeat(least, np.diff(np.r_[edge, len(h)]))
+        smallest[o, who] = np.repeat(least, np.diff(np.r_[edge, len(who)]))
     useful = smallest < last
     out = []
     for r in np.flatnonzero(useful.any(0)):
@@ -299,7 +318,7 @@ def earlier_windows(docs: DataFrame, length: int, field: np.ndarray, buckets: in
             named = rows.view(f"S{width}")[:, 0]
             order = np.lexsort((named, where))
             ids, rows, key, where = ids[order], rows[order], key[order], where[order]
-            new = np.r_[True, (key[1:] != key[:-1]) | (where[1:] != where[:-1])]
+            new = np.r_[True, (named[order][1:] != named[order][:-1]) | (where[1:] != where[:-1])]
             edge = np.flatnonzero(new)
             low, high = np.minimum.reduceat(ids, edge), np.maximum.reduceat(ids, edge)
             rows, key, where = rows[edge], key[edge], where[edge]

@@ -233,3 +233,20 @@ def test_loser_tree_merges_front_coded_runs():
         out.append(key)
         last = key
     assert out == sorted(keys)
+
+
+def test_suffix_windows_are_told_apart_by_bytes(monkeypatch):
+    """With a hash that takes almost all windows for one, the answers are the same."""
+    from keyloom.llm import suffix_dedup as sd
+
+    rng, length = np.random.default_rng(4), 50
+    left = length - sd.GRAM
+    rows = rng.integers(0, 2, (400, length + left + 2), dtype=np.uint8)
+    rows[:, :40] = 1  # many windows that differ in few bytes
+    rows[200:] = rows[:200]
+    rows[200:, length + 20 :] ^= 1
+    rows[:, -2], rows[:, -1] = rng.integers(40, length + 1, 400), rng.integers(0, left + 1, 400)
+    first, last, group = rng.integers(0, 900, 400), rng.integers(900, 999, 400), np.sort(rng.integers(0, 3, 400))
+    want = sd._answers(rows, first, last, group, length)
+    monkeypatch.setattr(sd, "mix64", lambda x: np.asarray(x, dtype=np.uint64) & np.uint64(1))
+    assert len(want) and np.array_equal(sd._answers(rows, first, last, group, length), want)
