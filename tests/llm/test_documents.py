@@ -350,3 +350,17 @@ def test_language(spark):
     odd = {r.text: (r.lang_pred, r.score) for r in langid.language(spark, edge(spark, [(1, " 12 ", "z"), (None, None, "q"), (3, "字", "z"), (4, "the of and " * 9000, "z")]), frozen, carry=True).select("_row.text", "lang_pred", "score").collect()}
     assert odd[" 12 "] == ("und", 0.0) and odd[None] == ("und", 0.0) and odd["字"][0] != "und"
     assert langid.language(spark, edge(spark, [])).isEmpty()
+
+
+def test_added_secrets_on_held_out_samples(spark):
+    """Random strings and identifiers that the chains were not trained on, in prose, one a text."""
+    from keyloom.llm.secret_scan import labelled_samples, secret_scan
+
+    held = [(k, label, f"the old value {text} was kept in place") for k, (label, text) in enumerate(labelled_samples(300, seed=77))]
+    held = [(k, label, text) for k, label, text in held if len(text.split()[3]) >= 20]
+    docs = spark.createDataFrame([(k, text) for k, _, text in held], "doc_id bigint, text string")
+    found = {r.doc_id for r in secret_scan(spark, docs).where("size(spans) > 0").collect()}
+    random_ones = {k for k, label, _ in held if label == "random"}
+    recall, precision = len(found & random_ones) / len(random_ones), len(found & random_ones) / len(found)
+    print(f"recall {recall:.3f}, precision {precision:.3f}, of {len(random_ones)} random and {len(held) - len(random_ones)} ordinary")
+    assert recall >= 0.9 and precision >= 0.9
