@@ -20,6 +20,8 @@ once a task, a passage that a third of all documents share is no larger than oth
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,17 @@ from .common import materialise, shared_dir
 from .textops import mix64
 
 GRAM = 16
+#: Step of a rolling hash modulo 2^64, and the step back.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of the filter of shared anchors, at most; beyond, more suffixes than need be are sorted.
 MAX_BITS = 1 << 29
 #: Spans of documents are sent to all executors up to this size, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 FLUSH = 1 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Merged suffixes whose windows are grouped at once, about; those of one anchor stay together.
+PART_ROWS = 1 << 16
 
 
 def anchors(part: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,30 +285,31 @@ def _answers(rows: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.nd
     length - o from it on.
     """
     left = length - GRAM
-    right_n, left_n = rows[:, -2].astype(int), rows[:, -1].astype(int)
-    prefix = np.zeros((length + 1, len(rows)), dtype=np.uint64)
-    prefix[0] = mix64(group.astype(np.uint64) + np.uint64(1))
+    right_n, left_n = rows[:, -2], rows[:, -1]
+    # the hash of the bytes from the anchor on loses its last one from offset to offset
+    ahead = mix64(group.astype(np.uint64) + np.uint64(1))
     for k in range(length):
-        prefix[k + 1] = mix64(prefix[k] * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, k])
+        ahead = ahead * _STEP + rows[:, k]
     behind = np.zeros(len(rows), dtype=np.uint64)
-    smallest = np.full((left + 1, len(rows)), np.iinfo(np.int64).max)
-    for o in range(left + 1):
-        if o:
-            behind = mix64(behind * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, length + o - 1] ^ np.uint64(o << 8))
-        ok = np.flatnonzero((left_n >= o) & (right_n >= length - o))
-        if not len(ok):
-            continue
-        who, new = _alike(rows, ok, prefix[length - o, ok] ^ behind[ok], group, length, o)
-        edge = np.flatnonzero(new)
-        least = np.minimum.reduceat(first[who], edge)
-        smallest[o, who] = np.repeat(least, np.diff(np.r_[edge, len(who)]))
-    useful = smallest < last
+    none = np.iinfo(np.int64).max
+    since, least = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), none)
     out = []
-    for r in np.flatnonzero(useful.any(0)):
-        s = smallest[:, r]
-        edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-        out += [(r, a, e - 1, s[a]) for a, e in zip(edge[:-1], edge[1:]) if useful[a, r]]
-    return np.array(out, dtype=np.int64).reshape(-1, 4)
+    for o in range(left + 2):
+        smallest = np.full(len(rows), none)
+        if 0 < o <= left:
+            ahead = (ahead - rows[:, length - o]) * _STEP_BACK
+            behind = mix64(behind * _STEP ^ rows[:, length + o - 1] ^ np.uint64(o << 8))
+        ok = np.flatnonzero((left_n >= o) & (right_n >= length - o)) if o <= left else np.empty(0, np.int64)
+        if len(ok):
+            who, new = _alike(rows, ok, mix64(ahead[ok] ^ behind[ok]), group, length, o)
+            edge = np.flatnonzero(new)
+            smallest[who] = np.repeat(np.minimum.reduceat(first[who], edge), np.diff(np.r_[edge, len(who)]))
+        # where the answer changes, the offsets before are one row
+        changed = smallest != least
+        ended = np.flatnonzero(changed & (least < last))
+        out.append(np.stack([ended, since[ended], np.full(len(ended), o - 1), least[ended]], axis=1))
+        since[changed], least = o, smallest
+    return np.concatenate(out)
 
 
 def earlier_windows(docs: DataFrame, length: int, field: np.ndarray, buckets: int) -> DataFrame:
@@ -345,36 +353,43 @@ def earlier_windows(docs: DataFrame, length: int, field: np.ndarray, buckets: in
 
     def combine(table: pa.Table) -> pa.Table:
         runs, facts, starts, total = [], [], [], 0
-        for n, data in zip(table["n"].to_pylist(), table["data"].to_pylist()):
-            facts.append(np.frombuffer(data, np.int64, 3 * n).reshape(3, n))
-            runs.append(Run(data[24 * n :], n, width))
+        for n, data in zip(table["n"].to_pylist(), table["data"]):
+            data = memoryview(data.as_buffer())
+            facts.append(np.frombuffer(data[: 24 * n], np.int64).reshape(3, n))
+            runs.append(Run(bytes(data[24 * n :]), n, width))
             starts.append(total)
             total += n
         facts = np.concatenate(facts, axis=1)
-        order, common = np.empty(total, np.int64), np.empty(total, np.int64)
-        rows = bytearray(total * width)
-        for k, (r, i, c) in enumerate(merge(runs)):
-            order[k], common[k] = starts[r] + i, c
-            rows[k * width : (k + 1) * width] = runs[r].key
-        rows = np.frombuffer(rows, np.uint8).reshape(total, width)
-        key, first, end = facts[:, order]
-        group = np.cumsum(common < GRAM)
-        same = np.flatnonzero(common < width)  # one row for each different suffix
-        first, end = np.minimum.reduceat(first, same), np.maximum.reduceat(end, same)
-        rows, key, group = rows[same], key[same], group[same]
-        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        size = np.diff(np.r_[edge, len(group)])
-        busy = np.repeat(np.maximum.reduceat(end, edge) > np.minimum.reduceat(first, edge), size)
-        rows, key, group, first, end = (x[busy] for x in (rows, key, group, first, end))
-        got = _answers(rows, first, end, group, length) if len(rows) else np.empty((0, 4), np.int64)
-        return pa.table(
-            {
-                "key": pa.array(key[got[:, 0]], pa.int64()),
-                "lo": pa.array(got[:, 1].astype(np.int32)),
-                "hi": pa.array(got[:, 2].astype(np.int32)),
-                "doc": pa.array(got[:, 3], pa.int64()),
-            }
-        )
+        out, place, common, rows = [], array("q"), array("q"), bytearray()
+
+        def answer():
+            """Answers for the suffixes gathered so far: whole groups of one anchor."""
+            key, first, end = facts[:, np.array(place)]
+            shared = np.array(common)
+            group = np.cumsum(shared < GRAM)
+            same = np.flatnonzero(shared < width)  # one row for each different suffix
+            first, end = np.minimum.reduceat(first, same), np.maximum.reduceat(end, same)
+            merged, key, group = np.frombuffer(rows, np.uint8).reshape(-1, width), key[same], group[same]
+            edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            size = np.diff(np.r_[edge, len(group)])
+            busy = np.flatnonzero(np.repeat(np.maximum.reduceat(end, edge) > np.minimum.reduceat(first, edge), size))
+            if len(busy):
+                key, group, first, end = (x[busy] for x in (key, group, first, end))
+                got = _answers(merged[busy], first, end, group, length)
+                out.append((key[got[:, 0]], got[:, 1].astype(np.int32), got[:, 2].astype(np.int32), got[:, 3]))
+
+        for r, i, c in merge(runs):
+            if c < GRAM and len(place) >= PART_ROWS:
+                answer()
+                place, common, rows = array("q"), array("q"), bytearray()
+            place.append(starts[r] + i)
+            common.append(c)
+            if c < width:
+                rows += runs[r].key
+        answer()
+        kinds = {"key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "doc": pa.int64()}
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
 
     found = docs.mapInArrow(run, "bucket int, n int, data binary")
     return found.groupBy("bucket").applyInArrow(combine, "key long, lo int, hi int, doc long")

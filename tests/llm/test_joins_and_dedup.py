@@ -250,3 +250,34 @@ def test_suffix_windows_are_told_apart_by_bytes(monkeypatch):
     want = sd._answers(rows, first, last, group, length)
     monkeypatch.setattr(sd, "mix64", lambda x: np.asarray(x, dtype=np.uint64) & np.uint64(1))
     assert len(want) and np.array_equal(sd._answers(rows, first, last, group, length), want)
+
+
+def test_suffix_windows_are_grouped_in_little_memory():
+    """A row of merged suffixes costs less than a number for each of its offsets would."""
+    import tracemalloc
+
+    from keyloom.llm import suffix_dedup as sd
+
+    rng, length, n = np.random.default_rng(6), 50, 100_000
+    rows = rng.integers(97, 123, (n, 2 * length - sd.GRAM + 2), dtype=np.uint8)
+    rows[n // 2 :] = rows[: n // 2]
+    rows[:, -2], rows[:, -1] = length, length - sd.GRAM
+    first, group = np.arange(n), np.arange(n) % (n // 2) // 3
+    tracemalloc.start()
+    got = sd._answers(rows, first, first, group, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [[r, 0, length - sd.GRAM, r - n // 2] for r in range(n // 2, n)]
+    assert sorted(got.tolist()) == want and peak < 350 * n
+
+
+def test_suffix_parts_end_with_an_anchor(spark, monkeypatch):
+    """Merged in parts of one anchor each, answers are those of brute force."""
+    from keyloom.llm import suffix_dedup as sd
+
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("ab ") for _ in range(80)) for _ in range(6)] + ["c" * 90]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(3))) for i in range(60)]
+    monkeypatch.setattr(sd, "PART_ROWS", 1)
+    got = {r.doc_id: tuple(r)[1:] for r in sd.digest_columns(sd.suffix_dedup(spark, edge(spark, rows).repartition(3))).collect()}
+    assert got == brute.suffix_removed(rows)
