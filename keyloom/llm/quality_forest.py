@@ -2,13 +2,14 @@
 
 Each whole text is reduced to counts (words, characters in words, symbols, repeated
 lines, words in repeated 5-word windows and a few more).  Fixed rules fail the plain
-cases.  An isolation forest, grown on a bounded sample of labelled documents, gives
-every other document the mean path length over random splits: documents that few
-splits isolate are anomalous.  The cut-off is calibrated on labelled rows, so that at
-most ``max_loss`` of the documents labelled good fall below it.
-
-The statistics and the scores are computed for all rows, in Arrow batches; the forest
-is a few arrays of fixed size.
+cases.  An isolation forest gives every other document the mean path length over random
+splits: documents that few splits isolate are anomalous.  Each tree draws its rows from
+all documents labelled good, as the method has it; the box that splits fall in and the
+cut-off come from every labelled document, so that at most ``max_loss`` of the documents
+labelled good fall below it.
+
+The statistics are computed once for all rows, in Arrow batches, and kept in the shared
+folder; the forest is a few arrays of fixed size.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
+from .common import materialise, shared_dir
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_pipes", "n_marks", "n_lines")
-#: Bounds of what the forest and its cut-off are fitted on.
-SAMPLE_ROWS, TREES, TREE_ROWS, DEPTH, MAX_LOSS, SEED = 4000, 100, 256, 14, 0.005, 11
+#: A tree isolates TREE_ROWS rows; no two trees draw the same row while there are enough.
+TREES, TREE_ROWS, DEPTH, MAX_LOSS, SEED = 100, 256, 14, 0.005, 11
+#: Scores are whole numbers of this, so that they are alike on all machines.
+UNIT = 10**9
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -102,7 +106,11 @@ class IsolationForest:
 
     def __init__(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.trees = [self._grow(rows[rng.permutation(len(rows))[:tree_rows]], lo, hi, rng) for _ in range(trees)]
+        if len(rows) < trees * tree_rows:
+            drawn = [rng.permutation(len(rows))[:tree_rows] for _ in range(trees)]
+        else:
+            drawn = rng.permutation(len(rows))[: trees * tree_rows].reshape(trees, tree_rows)
+        self.trees = [self._grow(rows[d], lo, hi, rng) for d in drawn]
         self.norm = max(_mean_path(min(tree_rows, len(rows))), 1e-9)
 
     @staticmethod
@@ -163,32 +171,70 @@ def _stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_loss: float = MAX_LOSS):
-    """(forest, cut-off) from at most ``sample_rows`` labelled documents, taken in hash order.
+def _scores(forest: IsolationForest, counts: np.ndarray) -> np.ndarray:
+    return np.rint(forest.score(features(counts)) * UNIT).astype(np.int64)
+
+
+def _batch_counts(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy() for c in COUNTS], axis=1) if len(b) else np.zeros((0, len(COUNTS)), dtype=np.int64)
+
+
+def _box(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest of each feature over all labelled rows."""
+    n = len(features(np.zeros((1, len(COUNTS)), dtype=np.int64))[0])
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x = features(_batch_counts(b))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n), pa.int32()), pa.array(x.min(0)), pa.array(x.max(0))], ["k", "lo", "hi"]
+                )
+
+    found = labelled.select(*COUNTS).mapInArrow(run, "k int, lo double, hi double")
+    rows = found.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("k").collect()
+    return np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
+
+
+def _place(scored: DataFrame, rank: int) -> int:
+    """The score with ``rank`` scores before it in order; counts of 1,000 ranges at a time go to the driver."""
+    low, width = 0, UNIT * 1000
+    while width > 1:
+        width //= 1000
+        rows = scored.where(F.col("score").between(low, low + 1000 * width - 1)).groupBy(F.expr(f"(score - {low}) div {width}").alias("k")).count()
+        for k, n in sorted((r["k"], r["count"]) for r in rows.collect()):
+            if rank < n:
+                low += k * width
+                break
+            rank -= n
+    return low
+
+
+def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS):
+    """(forest, cut-off in units of the score) from all labelled documents.
 
     The trees see documents labelled good, so that what differs from them is what
-    few splits isolate.  Where bad ones score clearly above the good, the cut-off
-    lies as low as ``max_loss`` of the good allows.  Without labelled good documents
-    there is no forest and every document passes.
+    few splits isolate: every tree draws its rows, in hash order, from all of them.
+    Where bad ones score clearly above the good, the cut-off lies as low as
+    ``max_loss`` of the good allows, counted over all of them.  Without labelled good
+    documents there is no forest and every document passes.
     """
-    chosen = (
-        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-        .limit(sample_rows)
-    )
-    rows = _stats(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *COUNTS).collect()
-    if not got:
-        return None, 1.0
-    counts = np.array([[r[c] for c in COUNTS] for r in got], dtype=np.int64)
-    good = np.array([r["quality"] == 1 for r in got]) & ~base_failed(counts)
-    if not good.any():
-        return None, 1.0
-    rows = features(counts)
-    forest = IsolationForest(rows[good], rows.min(0), rows.max(0))
-    return forest, float(np.quantile(forest.score(rows[good]), 1 - max_loss, method="higher"))
+    folder = shared_dir(spark)
+    given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = materialise(spark, stats.join(given, "doc_id"), folder, "labelled")
+    good = labelled.where("quality = 1 AND n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words")
+    drawn = good.orderBy(F.xxhash64("doc_id", *COUNTS, F.lit(SEED)), "doc_id", *COUNTS).limit(TREES * TREE_ROWS).select(*COUNTS).toArrow()
+    if not len(drawn):
+        return None, UNIT
+    lo, hi = _box(labelled)
+    forest = IsolationForest(features(np.stack([drawn[c].to_numpy() for c in COUNTS], axis=1)), lo, hi)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_scores(forest, _batch_counts(b)))], ["score"])
+
+    scored = materialise(spark, good.select(*COUNTS).mapInArrow(run, "score long"), folder, "scored")
+    return forest, _place(scored, int(np.ceil((scored.count() - 1) * (1 - max_loss))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -200,20 +246,18 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options)
     labels counts as good only if all of them are.  An empty table gives an empty
     result.
     """
-    forest, cut = fit(spark, docs, labels, **options)
-    names = ["doc_id", *COUNTS, "base_failed", "anomaly", "kept"]
+    stats = materialise(spark, _stats(docs), shared_dir(spark), "stats")
+    forest, cut = fit(spark, stats, labels, **options)
 
     def run(batches):
         for b in batches:
-            c = counts_of(b.column("text"))
+            c = _batch_counts(b)
             failed = base_failed(c)
-            # scores differ between machines in the last digits at most
-            odd = np.zeros(len(c)) if forest is None else np.round(forest.score(features(c)), 9)
-            kept = ~failed & (odd <= round(cut, 9))
+            odd = np.zeros(len(c), dtype=np.int64) if forest is None else _scores(forest, c)
+            kept = ~failed & (odd <= cut)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(c[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(odd), pa.array(kept)],
-                names,
+                [*b.columns, pa.array(failed), pa.array(odd / UNIT), pa.array(kept)], [*b.schema.names, "base_failed", "anomaly", "kept"]
             )
 
     kinds = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return stats.mapInArrow(run, kinds)

@@ -290,6 +290,17 @@ def test_quality_counts_and_forest(spark):
     assert quality_forest.quality(spark, edge(spark, []), labels).isEmpty()
 
 
+def test_forest_cut_counts_all_labelled_documents(spark):
+    """The cut-off is the quantile over every document labelled good, however many there are."""
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(f"{'Aa1|!#'[k % 6]}{k}" for k in rng.integers(0, rng.integers(20, 3000), rng.integers(12, 40))), "z") for i in range(6000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    rows = quality_forest.quality(spark, edge(spark, docs), labels).collect()
+    good = [r for r in rows if not r.base_failed]
+    cut = np.quantile([r.anomaly for r in good], 1 - quality_forest.MAX_LOSS, method="higher")
+    assert len(good) > 5500 and {r.doc_id for r in good if r.kept} == {r.doc_id for r in good if r.anomaly <= cut}
+
+
 def test_forest_isolates_what_lies_apart():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(0.5, 0.02, (300, 3)), [[0.95, 0.1, 0.9]]])
