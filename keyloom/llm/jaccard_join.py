@@ -47,7 +47,7 @@ FILTER_BITS = 1 << 25
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles of lower hash are counted: more of a set than its prefix holds.
 COUNTED = np.uint64(3 << 61)
-FLUSH, SEEN = 1 << 19, 1 << 17
+FLUSH, SEEN = 1 << 18, 1 << 17
 STAR = 512
 _SEEDS = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], dtype=np.uint64)
 

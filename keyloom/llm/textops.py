@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+#: Bytes of text whose shingles are made at once; a pass keeps some 30 bytes for each.
+SHINGLE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -29,11 +31,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 64)
+        size = -(-n // (1 << 18)) * (1 << 18) + 64
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 2 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES + 64:
             _powers[int(base)] = have
     return have[:n]
 
@@ -145,7 +147,7 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndar
     shingle; one without words has none.
     """
     offsets, text = buffers(column)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, SHINGLE_BYTES):
         at = offsets[i : j + 1] - offsets[i]
         part = lowered(text[offsets[i] : offsets[j]])
         start, end, doc = words(at, part)

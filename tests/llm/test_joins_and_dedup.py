@@ -281,3 +281,20 @@ def test_suffix_parts_end_with_an_anchor(spark, monkeypatch):
     monkeypatch.setattr(sd, "PART_ROWS", 1)
     got = {r.doc_id: tuple(r)[1:] for r in sd.digest_columns(sd.suffix_dedup(spark, edge(spark, rows).repartition(3))).collect()}
     assert got == brute.suffix_removed(rows)
+
+
+def test_shingles_of_a_large_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from keyloom.llm import textops
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    column = pa.array([" ".join(rng.choices(words, k=300)) for _ in range(3000)])
+    tracemalloc.start()
+    assert sum(len(s) for _, s in textops.shingle_sets(column)) > 800_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
