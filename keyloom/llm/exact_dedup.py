@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, shared_dir
+from .common import ascii_lower, shared_dir, small_table
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of the filter for hits (4 MB); a full one drops nothing.
@@ -107,7 +107,7 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return small_table(spark, [], schema)
 
 
 def _latest(changed: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def profile(docs: DataFrame, set_id: SetId) -> DataFrame:
                 ["doc_id", "text_hash", "sid", "other", "n"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, sid long, other long, n long")
+    return _texts(docs).mapInArrow(textops.lean(run), "doc_id long, text_hash long, sid long, other long, n long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -208,8 +208,8 @@ def frequent_shingles(docs: DataFrame, set_id: SetId, buckets: int) -> tuple[np.
             }
         )
 
-    counted = _texts(docs).select("text").mapInArrow(count, "bucket int, data binary")
-    totals = counted.groupBy("bucket").applyInArrow(total, "token long, df long, entries long, squares long")
+    counted = _texts(docs).select("text").mapInArrow(textops.lean(count), "bucket int, data binary")
+    totals = counted.groupBy("bucket").applyInArrow(textops.lean_group(total), "token long, df long, entries long, squares long")
     rows = totals.groupBy(F.when(F.col("df") > 0, F.col("token")).alias("token")).agg(
         F.sum("df").alias("df"), F.sum("entries").alias("entries"), F.sum("squares").alias("squares")
     )
@@ -326,9 +326,9 @@ def candidates(docs: DataFrame, set_id: SetId, known: np.ndarray, light: int, bu
             out.append(_rows(sub[first], a[first], b[first], n[x], n[y], hits, 0, 0))
         return pa.concat_tables(out)
 
-    entries = _texts(docs).select("text").mapInArrow(index, "bucket int, data binary")
+    entries = _texts(docs).select("text").mapInArrow(textops.lean(index), "bucket int, data binary")
     return entries.groupBy("bucket").applyInArrow(
-        scan, "kind int, a long, b long, na long, nb long, hits long, pa long, pb long"
+        textops.lean_group(scan), "kind int, a long, b long, na long, nb long, hits long, pa long, pb long"
     )
 
 
@@ -514,7 +514,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def family_links(docs: DataFrame, owners: DataFrame, blocks: DataFrame) -> DataFrame:
     """Links (a, b) that connect the sets of each family that link, whichever component they were in."""
     met = _with_sets(docs, owners, blocks)
-    return met.select("family", "i", "j", "late", "sid", "root", "data").groupBy("family", "i", "j").applyInArrow(_meet, "a long, b long")
+    return met.select("family", "i", "j", "late", "sid", "root", "data").groupBy("family", "i", "j").applyInArrow(textops.lean_group(_meet), "a long, b long")
 
 
 def _with_sets(docs: DataFrame, owners: DataFrame, ask: DataFrame) -> DataFrame:
@@ -553,7 +553,7 @@ def _with_sets(docs: DataFrame, owners: DataFrame, ask: DataFrame) -> DataFrame:
                     [some.column("doc_id"), some.column("text_hash"), pa.array(data, pa.binary())], ["_doc_id", "_text_hash", "data"]
                 )
 
-    found = _texts(docs).withColumn("h", bit).mapInArrow(sets, "_doc_id long, _text_hash long, data binary")
+    found = _texts(docs).withColumn("h", bit).mapInArrow(textops.lean(sets), "_doc_id long, _text_hash long, data binary")
     return found.join(ask, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
 
 
@@ -580,7 +580,7 @@ def verify(docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
         links = [int(sid[k]) for k in np.flatnonzero(~first) if similar(a, np.frombuffer(data[int(k)].as_py(), np.uint64))]
         return pa.table({"a": pa.array([int(sid[own])] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
 
-    return members.select("a", "part", "sid", "first", "data").groupBy("a", "part").applyInArrow(check, "a long, b long")
+    return members.select("a", "part", "sid", "first", "data").groupBy("a", "part").applyInArrow(textops.lean_group(check), "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, folder: str, name: str) -> DataFrame:

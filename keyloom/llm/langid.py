@@ -348,7 +348,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     if count.count() * sample_docs <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     picked = labelled.select(F.col("doc_id").cast("long"), "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
-    got = picked.mapInArrow(draw, "doc_id long, lang string, word binary").orderBy("doc_id", "lang", "word").toArrow()
+    got = picked.mapInArrow(textops.lean(draw), "doc_id long, lang string, word binary").orderBy("doc_id", "lang", "word").toArrow()
     names = sorted(set(got["lang"].to_pylist()))
     if not names:
         return (["und"], *Network(["und"]).frozen()[1:])
@@ -382,6 +382,7 @@ def language(spark: SparkSession, docs: DataFrame, frozen: tuple | None = None,
             _labellers.clear()
             labeller = _labellers[token] = Labeller(frozen)
         p, letters = labeller.pooled(text)
+        textops.give_back()
         p = np.round(p, 5)
         best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
         score = np.where(letters, p[np.arange(len(p)), best], 0.0)

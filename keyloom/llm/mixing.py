@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, small_table
 
 PHI = (math.sqrt(5) - 1) / 2
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
@@ -95,7 +95,7 @@ def mix(
         spark, docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), *keep), folder, "sizes"
     )
     found = source_targets(spark, sized, weights, max_repeats)
-    sources = spark.createDataFrame(found, "source string, n_docs long, source_size long, target double")
+    sources = small_table(spark, found, "source string, n_docs long, source_size long, target double")
     plan = schedule(spark, found, max(slots, SOURCE_SLOTS * len(found)))
     plan = materialise(spark, plan, folder, "schedule")
     return _taken(sized, sources, plan, seed, keep), plan
@@ -112,7 +112,8 @@ def schedule(spark: SparkSession, sources: list[tuple], slots: int) -> DataFrame
     """
     total = sum(target for *_, target in sources)
     if not total:
-        return spark.createDataFrame(
+        return small_table(
+            spark,
             [],
             "slot long, source string, rank long, block long, pass_no long, block_tokens long, block_size long",
         )
@@ -122,7 +123,7 @@ def schedule(spark: SparkSession, sources: list[tuple], slots: int) -> DataFrame
     for source, _, size, target in sources:
         edges.append((source, upto / total, (upto + target) / total, size, math.floor(target)))
         upto += target
-    stretch = spark.createDataFrame(edges, "source string, lo double, hi double, source_size long, want long")
+    stretch = small_table(spark, edges, "source string, lo double, hi double, source_size long, want long")
     point = F.expr(f"pmod((id + 1) * {PHI!r}D, 1D)")
     # Each point looks its source up in the sorted edges: cells of the unit interval
     # carry the stretches that touch them, so the lookup is an equi-join.

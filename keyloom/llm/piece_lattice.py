@@ -524,7 +524,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_pieces long, score double, n_best int, losses array<double>, round_trip boolean")
+    return rows.mapInArrow(textops.lean(run), "doc_id long, ids binary, n_pieces long, score double, n_best int, losses array<double>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

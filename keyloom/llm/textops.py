@@ -7,7 +7,9 @@ document at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of text whose shingles are made at once; a pass keeps some 30 bytes for each.
 SHINGLE_BYTES = 1 << 19
 
+#: A group of fewer bytes isn't worth a call of give_back.
+GROUP_BYTES = 1 << 18
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -28,6 +33,47 @@ _BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, (2,
 _powers: dict[int, np.ndarray] = {}
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on and would hold it through all later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function on batches for mapInArrow that gives its memory back after each batch and at its end."""
+
+    def each(batches):
+        for b in batches:
+            yield b
+            del b
+            give_back()
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(each(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function on a group for applyInArrow that gives its memory back at its end."""
+
+    @wraps(run)
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= GROUP_BYTES:
+            give_back()
+        return out
+
+    return wrapped
+
+
 def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:

@@ -1,12 +1,21 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__
 import corpus_pipeline
-from keyloom.llm.common import read_documents
+from keyloom.llm import exact_dedup, mixing
+from keyloom.llm.common import read_documents, small_table
 from tests.conftest import SMALL
 
 from . import brute
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def test_stages_take_effect(spark, tmp_path):
     docs = read_documents(spark, SMALL)
@@ -61,3 +70,39 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_small_tables_start_no_further_workers(spark, tmp_path):
+    """Tables of the driver's rows are part of the plan, not RDDs that a second set of Python workers unpickles."""
+    rows = [("a", 3, 30, 15.0), (None, 2, 20, 35.0)]
+    sources = "source string, n_docs long, source_size long, target double"
+    made = small_table(spark, rows, sources)
+    assert [tuple(r) for r in made.collect()] == rows
+    assert small_table(spark, [], sources).collect() == [] and small_table(spark, [], sources).schema == made.schema
+    schema = T.StructType.fromDDL("_digest binary, stays struct<doc_id: bigint, file: string>")
+    stored = exact_dedup._stored(spark, f"{tmp_path}/none", schema)
+    assert stored.schema == schema and stored.collect() == []
+    for df in (made, stored, mixing.schedule(spark, rows, 64), mixing.schedule(spark, [], 64)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workers_give_memory_back():
+    """A Python worker keeps little of what its tasks took: it lives on through the later stages."""
+    anon = "sum(int(x.split()[1]) for x in open('/proc/self/smaps') if x.startswith('Anonymous:')) >> 10"
+    code = f"""
+import pyarrow as pa
+from keyloom.llm import textops
+batches = [pa.RecordBatch.from_arrays([pa.array(range(20000))], ["id"])] * 3
+
+def run(batches):
+    for b in batches:
+        held = [bytearray(1000) + bytes([k % 256]) for k in range(100000)]
+        yield len(held)
+
+before = {anon}
+for _ in textops.lean(run)(batches):
+    pass
+print(({anon}) - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)})
+    assert int(got.stdout) < 30, got.stderr
