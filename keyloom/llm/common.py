@@ -6,11 +6,10 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..sources.storage import small_table  # noqa: F401
 
 WORD_SEPARATORS = "\\x20\\x09-\\x0D"
 
@@ -62,18 +61,6 @@ def forget(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A table of rows that the driver has, as a part of the plan.
-
-    From a list of rows Spark makes an RDD of pickled ones, which starts a second daemon
-    and set of Python workers on every executor, beside those of the operators.
-    """
-    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    fields = to_arrow_schema(schema)
-    columns = zip(*rows) if rows else ([] for _ in fields)
-    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields), schema)
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SCAN_COUNT_MAX
+from ..sources.storage import small_table
 
 RUN = "key binary, is_delete boolean, value binary, expire_at bigint"
 
@@ -134,7 +135,7 @@ class Store:
         """Range-partitioned sorted files of about ``file_bytes`` each, with their facts."""
         number = manifest.next_number
         path = f"{self.folder}/run-{number:08d}"
-        size = rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16)).first()[0]
+        size, keys = rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16), F.count(F.lit(1))).first()
         if not size:
             return []
         files = max(1, -(-size // self.options.file_bytes))
@@ -143,6 +144,8 @@ class Store:
             .sortWithinPartitions("key")
             .write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#key", "true")
+            # without a number of keys every file gets a filter of 1 MB
+            .option("parquet.bloom.filter.expected.ndv#key", str(-(-keys // files)))
             .parquet(path)
         )
         facts = (
@@ -155,9 +158,9 @@ class Store:
                 F.lower(F.hex(F.max("key"))).alias("hi"),
                 F.max("_metadata.file_size").alias("size"),
             )
-            .orderBy("lo")
             .collect()
         )
+        facts.sort(key=lambda r: r["lo"])
         found = [RunFile(level, number + i, r["p"], r["size"], r["n"], r["lo"], r["hi"]) for i, r in enumerate(facts)]
         manifest.next_number = number + len(found)
         return found
@@ -177,11 +180,11 @@ class Store:
         lo, hi = (start or b"").hex(), None if end is None else end.hex()
         wanted = [f for f in manifest.files if f.max_key >= lo and (hi is None or f.min_key <= hi)]
         if not wanted:
-            return self.spark.createDataFrame([], RUN + ", rk bigint")
+            return small_table(self.spark, [], RUN + ", rk bigint")
         # newest level-0 file first, then deeper levels; one scan with a rank by file
         ranks = {f.path: (f.level, -f.number if f.level == 0 else 0) for f in wanted}
         order = {v: k for k, v in enumerate(sorted(set(ranks.values())))}
-        table = self.spark.createDataFrame([(p, order[v]) for p, v in ranks.items()], "p string, rk bigint")
+        table = small_table(self.spark, [(p, order[v]) for p, v in ranks.items()], "p string, rk bigint")
         rows = self.spark.read.schema(RUN).parquet(*ranks).withColumn("p", F.col("_metadata.file_path"))
         if start is not None:
             rows = rows.where(F.col("key") >= F.lit(start))
@@ -244,38 +247,49 @@ class Store:
         rows = merged(self.read()).select("key", F.lit(True).alias("is_delete"), F.lit(None).cast("binary").alias("value"), F.lit(0).cast("bigint").alias("expire_at"))
         self.flush(rows, lsn)
 
-    def pick(self, manifest: Manifest) -> tuple[int, list[RunFile], list[RunFile]] | None:
-        """(level, its inputs, overlapping files below) of the most overdue compaction."""
+    def pick(self, manifest: Manifest, batch: bool = False) -> tuple[int, list[RunFile], list[RunFile]] | None:
+        """(level, its inputs, overlapping files below) of the most overdue compaction.
+
+        A ``batch`` takes the files that would go one after another, up to the level's last,
+        until the rest is within the level's budget.
+        """
         scores = {0: len({f.path.rpartition("/")[0] for f in manifest.level(0)}) / self.options.level0_trigger}
-        budget = self.options.level1_bytes
-        for n in range(1, self.options.levels - 1):
+        budgets = {n: self.options.level1_bytes * self.options.level_factor ** (n - 1) for n in range(1, self.options.levels - 1)}
+        for n, budget in budgets.items():
             scores[n] = sum(f.size for f in manifest.level(n)) / budget
-            budget *= self.options.level_factor
         level = max(scores, key=lambda n: (scores[n], -n))
         if scores[level] < 1 or (level and scores[level] <= 1):
             return None
         inputs = manifest.level(level)
         if level:  # round robin: the first file behind the one that went last, or the first of all
             behind = manifest.picked.get(str(level), "")
-            inputs = [next((f for f in inputs if f.max_key > behind), inputs[0])]
+            first = next((i for i, f in enumerate(inputs) if f.max_key > behind), 0)
+            over, last = sum(f.size for f in inputs) - inputs[first].size - budgets[level], first + 1
+            while batch and over > 0 and last < len(inputs):
+                over, last = over - inputs[last].size, last + 1
+            inputs = inputs[first:last]
         lo, hi = min(f.min_key for f in inputs), max(f.max_key for f in inputs)
         return level, inputs, [f for f in manifest.level(level + 1) if f.min_key <= hi and lo <= f.max_key]
 
     def compact_once(self, now: int) -> bool:
         """One compaction if any is due; old files stay for readers of older manifests."""
         manifest = self.manifest()
-        due = self.pick(manifest)
+        due = self.pick(manifest, batch=True)
         if due is None:
             return False
         level, inputs, below = due
         part = Manifest(manifest.next_number, manifest.last_lsn, files=inputs + below)
         if level:
-            manifest.picked[str(level)] = inputs[0].max_key
+            manifest.picked[str(level)] = inputs[-1].max_key
         deeper = [(bytes.fromhex(f.min_key), bytes.fromhex(f.max_key)) for f in manifest.files if f.level > level + 1]
-        ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary")
-        rows = compact(self.read(part), ranges, now).select("key", "is_delete", "value", "expire_at")
+        ranges = small_table(self.spark, deeper, "min_key binary, max_key binary")
+        # kept until it is written: the size, the bounds of the files and the files are a pass each
+        rows = compact(self.read(part), ranges, now).select("key", "is_delete", "value", "expire_at").persist()
         gone = {f.number for f in inputs + below}
-        new = self.write_run(rows, level + 1, manifest)
+        try:
+            new = self.write_run(rows, level + 1, manifest)
+        finally:
+            rows.unpersist()
         manifest.files = [f for f in manifest.files if f.number not in gone] + new
         self.install(manifest)
         return True

@@ -237,3 +237,27 @@ def test_compaction_goes_round(spark, tmp_path):
         order.append(one.number)
         manifest.picked["1"] = one.max_key
     assert order == [1, 2, 3, 1]
+
+
+def test_compactions_move_what_is_over_at_once(spark, tmp_path):
+    """Files take the room of their keys, and a level goes below its budget in one compaction."""
+    store = lsm.Store(spark, f"file://{tmp_path}/many", lsm.CompactionOptions(level0_trigger=1, level1_bytes=30_000, file_bytes=1 << 12))
+    store.flush(_run(spark, range(2000), "a"), 1)
+    assert store.compact_once(NOW)
+    assert len(store.manifest().level(1)) > 10 and sum(f.size for f in store.manifest().files) < 200_000
+    store.flush(_run(spark, range(0, 2000, 3), "b", True), 2)
+    met = 0
+    while store.compact_once(NOW):
+        met += 1
+        store.manifest().validate()
+    levels = [sum(f.size for f in store.manifest().level(n)) for n in (0, 1, 2)]
+    assert met <= 4 and levels[0] == 0 and levels[1] <= 30_000 and levels[2] > 0
+    want = {f"key:{i:06d}": f"a-{i}" for i in range(2000) if i % 3}
+    assert {bytes(r.key).decode(): bytes(r.value).decode() for r in store.keyspace().collect()} == want
+    # a batch stays between neighbours: files of the level below that lie in its gaps go with it
+    files = [lsm.RunFile(1, n, f"run-{n}/f", 100, 1, f"{n}0", f"{n}2") for n in range(1, 6)]
+    files += [lsm.RunFile(2, 10 + n, f"run-{10 + n}/f", 1, 1, f"{n}5", f"{n}7") for n in range(1, 6)]
+    some = lsm.Store(spark, f"file://{tmp_path}/r", lsm.CompactionOptions(level1_bytes=250))
+    level, inputs, below = some.pick(lsm.Manifest(picked={"1": "12"}, files=files), batch=True)
+    assert (level, [f.number for f in inputs], [f.number for f in below]) == (1, [2, 3, 4], [12, 13])
+    assert [f.number for f in some.pick(lsm.Manifest(picked={"1": "42"}, files=files), batch=True)[1]] == [5]
