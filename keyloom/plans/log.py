@@ -47,15 +47,21 @@ def history(log: DataFrame) -> DataFrame:
     """key, op, value, expire_at, valid_from, valid_to: a read at s sees valid_from < s <= valid_to.
 
     A record ends with the next one of its key or with the next flush, whichever comes
-    first.  Flushes are an operator's commands, few against the log: one row holds them
-    in order and every task searches it.
+    first.  The numbers are cut into about as many cells as there are flushes, and a record
+    meets the spans between flushes that reach its cell: two or three, however many the log has.
     """
+    here = F.struct("lsn", "pos")
+    flushes = log.where("op = 'flushall' AND lsn IS NOT NULL").select(here.alias("_until")).distinct()
+    grid = flushes.agg(F.min("_until.lsn").alias("_first"), F.max("_until.lsn").alias("_last"), F.greatest(F.count("_until"), F.lit(1)).alias("_n"))
+    grid = F.broadcast(grid.select("_first", F.expr("greatest(1L, _last div _n - _first div _n)").alias("_width")))
+    spans = flushes.withColumn("_since", F.lag("_until").over(Window.orderBy("_until"))).join(grid)
+    spans = spans.select("_since", "_until", F.explode(F.expr("sequence(coalesce(_since.lsn, _until.lsn) div _width, _until.lsn div _width)")).alias("_cell"))
     w = Window.partitionBy("key").orderBy("lsn", "pos")
     rows = log.where("op <> 'flushall'").withColumn("_next", F.lead("lsn").over(w))
-    flushes = log.where("op = 'flushall'").agg(F.sort_array(F.collect_list(F.struct("lsn", "pos"))).alias("_flushes"))
-    later = F.filter("_flushes", lambda f: f > F.struct(F.col("lsn"), F.col("pos")))
-    rows = rows.join(F.broadcast(flushes)).withColumn("_flush", F.get(later, F.lit(0))["lsn"])
-    return rows.select("key", "op", "value", "expire_at", F.col("lsn").alias("valid_from"), F.least("_next", "_flush").alias("valid_to"))
+    rows = rows.join(grid).withColumn("_cell", F.expr("lsn div _width")).withColumn("_here", here)
+    rows = rows.join(spans, (rows["_cell"] == spans["_cell"]) & (F.col("_since").isNull() | (F.col("_since") <= F.col("_here"))) & (F.col("_here") < F.col("_until")), "left")
+    flush = F.coalesce("_until.lsn", F.when(F.col("lsn") < F.col("_first"), F.col("_first")))
+    return rows.select("key", "op", "value", "expire_at", F.col("lsn").alias("valid_from"), F.least("_next", flush).alias("valid_to"))
 
 
 def dbsize_asof(log: DataFrame, lsns: list[int], now: int) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +263,20 @@ def test_compactions_move_what_is_over_at_once(spark, tmp_path):
     level, inputs, below = some.pick(lsm.Manifest(picked={"1": "12"}, files=files), batch=True)
     assert (level, [f.number for f in inputs], [f.number for f in below]) == (1, [2, 3, 4], [12, 13])
     assert [f.number for f in some.pick(lsm.Manifest(picked={"1": "42"}, files=files), batch=True)[1]] == [5]
+
+
+def test_history_among_many_flushes(spark):
+    """Flushes in clumps, twice, inside a batch, before and after all else; each record meets few of them."""
+    rnd = random.Random(3)
+    far = [-(1 << 63), -7, 0, 1 << 40, (1 << 63) - 1]
+    rows = {(rnd.choice([rnd.randrange(-40, 400), rnd.randrange(10_000, 10_020), rnd.choice(far)]), rnd.randrange(3)): rnd.random() < 0.4 for _ in range(400)}
+    marks = sorted(k for k, is_flush in rows.items() if is_flush)
+    puts = sorted(k for k, is_flush in rows.items() if not is_flush)
+    key = {k: f"k{rnd.randrange(9)}" for k in puts}
+    made = [(*k, "put", key[k], "v", 0) for k in puts] + [(*k, "flushall", None, None, 0) for k in marks + marks[:5]]
+    for flushes in (marks, marks[40:41], []):
+        df = _log(spark, [r for r in made if r[2] == "put" or r[:2] in set(flushes)])
+        want = [(key[k], k[0], min((o[0] for o in [*puts, *flushes] if o > k and (o in flushes or key[o] == key[k])), default=None)) for k in puts]
+        assert sorted(tuple(r) for r in log.history(df).select("key", "valid_from", F.coalesce("valid_to", F.lit(-1))).collect()) == sorted((a, b, -1 if c is None else c) for a, b, c in want)
+    # no row holds all flushes
+    assert "collect_list" not in log.history(df)._jdf.queryExecution().optimizedPlan().toString()
