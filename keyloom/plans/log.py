@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import small_table
+
 
 def newest(log: DataFrame, upto: int | None = None) -> DataFrame:
     """The last mutation of each key after the last flush, deletes included.
@@ -48,7 +50,8 @@ def history(log: DataFrame) -> DataFrame:
 
     A record ends with the next one of its key or with the next flush, whichever comes
     first.  The numbers are cut into about as many cells as there are flushes, and a record
-    meets the spans between flushes that reach its cell: two or three, however many the log has.
+    meets the spans between flushes that reach its cell: about two, more where flushes lie in
+    clumps, and never a list of all.
     """
     here = F.struct("lsn", "pos")
     flushes = log.where("op = 'flushall' AND lsn IS NOT NULL").select(here.alias("_until")).distinct()
@@ -66,11 +69,12 @@ def history(log: DataFrame) -> DataFrame:
 
 def dbsize_asof(log: DataFrame, lsns: list[int], now: int) -> DataFrame:
     """lsn, n: live keys after each of the given records."""
-    spark = log.sparkSession
-    asked = spark.createDataFrame([(x,) for x in lsns], "lsn bigint")
+    asked = small_table(log.sparkSession, [(x,) for x in sorted(set(lsns))], "lsn bigint")
     h = history(log).where("op = 'put'").where((F.col("expire_at") == 0) | (F.col("expire_at") > now))
-    met = asked.join(h, (F.col("valid_from") <= F.col("lsn")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("lsn"))), "left")
-    return met.groupBy("lsn").agg(F.count("key").alias("n"))
+    met = h.join(F.broadcast(asked), (F.col("valid_from") <= F.col("lsn")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("lsn"))))
+    # the history is counted where it is; it must not be the side that is sent to every task
+    counts = met.groupBy("lsn").agg(F.count("key").alias("n"))
+    return asked.join(counts, "lsn", "left").select("lsn", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def check(log: DataFrame) -> DataFrame:

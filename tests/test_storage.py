@@ -280,3 +280,13 @@ def test_history_among_many_flushes(spark):
         assert sorted(tuple(r) for r in log.history(df).select("key", "valid_from", F.coalesce("valid_to", F.lit(-1))).collect()) == sorted((a, b, -1 if c is None else c) for a, b, c in want)
     # no row holds all flushes
     assert "collect_list" not in log.history(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dbsize_keeps_the_history_in_place(spark):
+    """Only the numbers asked for are sent to every task; a number asked for twice is answered once."""
+    rows = _log(spark, [(n, 0, "flushall" if n % 5 == 0 else "put", None if n % 5 == 0 else f"k{n}", "v", 0) for n in range(1, 41)])
+    sizes = log.dbsize_asof(rows, [0, 4, 4, 5, 13, 40], NOW)
+    assert sorted(map(tuple, sizes.collect())) == [(0, 0), (4, 4), (5, 0), (13, 3), (40, 0)]
+    nested = [line for line in sizes._jdf.queryExecution().sparkPlan().toString().splitlines() if "NestedLoop" in line and "valid_from" in line]
+    assert nested and all("BuildRight, Inner" in line for line in nested)
+    assert log.dbsize_asof(rows, [], NOW).count() == 0
